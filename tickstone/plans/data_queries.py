@@ -19,7 +19,7 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_grid(spark, d).where("filled").select("symbol", "session_date")
+    return p1_grid(spark, d).where("filled and value is not null").select("symbol", "session_date")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
