@@ -15,7 +15,7 @@ def rolling_totals(bars: DataFrame, periods: Sequence[int] = (7, 30)) -> DataFra
     """One row for each symbol and calendar day from the first to the last day with a counted volume.
 
     ``symbol, activity_day (string), day_number (from 1), volume, n_volume``, and for each period n
-    ``volume_n, active_n, close_avg_n``. The trailing n days include the day itself; days before the first count as
+    ``volume_n, active_n, close_sum_n, close_n_n, close_avg_n``. The trailing n days include the day itself; days before the first count as
     empty. A volume counts if finite and above zero, a close if finite; a day without either is idle, its totals
     are zero and an average over no close is null. Running totals are summed once per symbol over its days, carried
     forward over idle days, and subtracted at the window's ends, so a period's length costs nothing. Idle periods are told
@@ -56,6 +56,8 @@ def rolling_totals(bars: DataFrame, periods: Sequence[int] = (7, 30)) -> DataFra
     for n in periods:
         out[f"volume_{n}"] = F.when(trailing("n_volume", n) == 0, F.lit(0.0)).otherwise(trailing("volume", n))
         out[f"active_{n}"] = trailing("n_volume", n)
+        out[f"close_sum_{n}"] = trailing("close", n)
+        out[f"close_n_{n}"] = trailing("n_close", n)
         out[f"close_avg_{n}"] = F.try_divide(trailing("close", n), trailing("n_close", n).cast("double"))
     return days.select(
         "symbol",

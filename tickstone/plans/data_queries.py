@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickstone.operators.history import membership_history
 from tickstone.operators.outliers import implausible, outlier_report
@@ -42,12 +43,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_changes(spark, d).drop("fields")
 
 
-def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+def _totals(spark: SparkSession, d: str) -> DataFrame:
     return rolling_totals(table(spark, d, "pit_bars"))
 
 
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    # averages of sums in whole ten-thousandths, the prices' last digit: free of the sums' order
+    sums = {f"close_avg_{n}": F.try_divide(F.round(f"close_sum_{n}", 4), F.col(f"close_n_{n}").cast("double")) for n in (7, 30)}
+    return _totals(spark, d).withColumns(sums).drop("close_sum_7", "close_n_7", "close_sum_30", "close_n_30")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return activity_marks(p5_totals(spark, d))
+    return activity_marks(_totals(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

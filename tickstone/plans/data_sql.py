@@ -64,13 +64,16 @@ WHERE p.seq > 1 AND (now <> before OR differs)"""
 P5_TOTALS = f"""
 WITH {READINGS},
 daily AS (SELECT symbol, day, coalesce(sum(volume) FILTER (WHERE isfinite(volume) AND volume > 0), 0) AS volume,
-                 count(*) FILTER (WHERE isfinite(volume) AND volume > 0) AS n_volume
+                 count(*) FILTER (WHERE isfinite(volume) AND volume > 0) AS n_volume,
+                 coalesce(sum(close) FILTER (WHERE isfinite(close)), 0) AS close, count(*) FILTER (WHERE isfinite(close)) AS n_close
           FROM readings GROUP BY symbol, day),
 span AS (SELECT symbol, min(day) AS lo, max(day) AS hi FROM daily WHERE n_volume > 0 GROUP BY symbol),
 grid AS (SELECT symbol, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
-full_days AS (SELECT g.symbol, g.day, g.day - g.lo + 1 AS day_number, coalesce(d.volume, 0) AS volume, coalesce(d.n_volume, 0) AS n_volume
+full_days AS (SELECT g.symbol, g.day, g.day - g.lo + 1 AS day_number, coalesce(d.volume, 0) AS volume, coalesce(d.n_volume, 0) AS n_volume,
+                     coalesce(d.close, 0) AS close, coalesce(d.n_close, 0) AS n_close
               FROM grid g LEFT JOIN daily d ON d.symbol = g.symbol AND d.day = g.day),
-totals AS (SELECT symbol, day, day_number,
+totals AS (SELECT symbol, day, day_number, volume, n_volume,
+                  round(sum(close) OVER w7, 4) / nullif(sum(n_close) OVER w7, 0) AS close_avg_7, round(sum(close) OVER w30, 4) / nullif(sum(n_close) OVER w30, 0) AS close_avg_30,
                   sum(volume) OVER w7 AS volume_7, sum(n_volume) OVER w7 AS active_7, sum(volume) OVER w30 AS volume_30, sum(n_volume) OVER w30 AS active_30
            FROM full_days
            WINDOW w7 AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
@@ -86,5 +89,8 @@ SQL: dict[str, str] = {
     "p2_found": P2,
     "p4_changes": CHANGES,
     "p4_found": f"SELECT scope, as_of, item, change FROM ({CHANGES})",
+    "p5_totals": f"""{P5_TOTALS}
+SELECT symbol, strftime(day, '%Y-%m-%d') AS activity_day, CAST(day_number AS INTEGER) AS day_number, volume, n_volume, volume_7, CAST(active_7 AS BIGINT) AS active_7, close_avg_7,
+       volume_30, CAST(active_30 AS BIGINT) AS active_30, close_avg_30 FROM totals""",
     "p5_found": P5,
 }
