@@ -7,6 +7,8 @@ from datetime import date, timedelta
 import numpy as np
 from helpers import NAN, at, bar, frame, session_frame, tuples
 
+from pyspark.sql import functions as F
+
 from tickstone.operators.readings import readings
 from tickstone.operators.regular_grid import SEASONS, fit, regular_grid
 from tickstone.operators.rolling import activity_marks, rolling_totals
@@ -94,7 +96,7 @@ def test_grid_empty_and_extra_columns(spark):
 
 def test_fit_single_point_is_finite(spark):
     points = spark.createDataFrame([("a", 5.0, 1.0, 0.0)], "k string, y double, x0 double, x1 double")
-    assert all(math.isfinite(v) for v in fit(points, "k", "y", ["x0", "x1"]).first().beta)
+    assert all(math.isfinite(v) for v in fit(points, "k", "y", [F.col("x0"), F.col("x1")], ["y"]).first().beta)
 
 
 def _brute(rows, n):

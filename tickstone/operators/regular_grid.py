@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,53 +35,60 @@ def basis(step: Column, seasons: Sequence[tuple[float, int]] = SEASONS, scale: f
     return out
 
 
-def fit(points: DataFrame, key: str, y: str, xs: Sequence[str], ridge: float = 1e-6) -> DataFrame:
-    """Rows ``key, beta`` from ``points``: least squares of ``y`` on ``xs`` for each key.
+def fit(points: DataFrame, key: str, y: str, xs: Sequence[Column], keep: Sequence[str] = (), ridge: float = 1e-6) -> DataFrame:
+    """Rows ``key, beta, points``: least squares of ``y`` on ``xs`` for each key, and its points.
 
-    The sums are made in the JVM, so Python sees one row a key. ``ridge`` times the number of points is added on
-    the diagonal but for the constant, which keeps short series solvable. Points whose ``y`` is infinite or
-    above 1e150 in size take no part (their squares leave the range of doubles).
+    ``points`` lists the columns ``keep`` of a key's rows in the order of the first of them. A key must have a bounded number of
+    rows (here at most one a session). The normal equations are sums made in the JVM, before and after one exchange;
+    Python sees one row a key, whose list passes through as it is. ``ridge`` times the number of rows is added on the diagonal but
+    for the constant, which keeps short series solvable. Rows whose ``y`` is infinite or above 1e150 in size take no part in the
+    sums (their squares leave the range of doubles).
     """
     p = len(xs)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = points.where(F.abs(F.col(y)) < 1e150).groupBy(key).agg(
-        F.array(*(F.sum(F.col(xs[i]) * F.col(xs[j])) for i, j in pairs)).alias("xx"),
-        F.array(*(F.sum(F.col(x) * F.col(y)) for x in xs)).alias("xy"),
+    inside = F.abs(F.col(y)) < 1e150
+    named = points.select(key, *{y, *keep}, *(F.when(inside, x).otherwise(0.0).alias(f"__x{i}") for i, x in enumerate(xs)), F.when(inside, F.col(y)).otherwise(0.0).alias("__y"))
+    sums = named.groupBy(key).agg(
+        F.array(*(F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")) for i, j in pairs)).alias("xx"),
+        F.array(*(F.sum(F.col(f"__x{i}") * F.col("__y")) for i in range(p))).alias("xy"),
+        F.array_sort(F.collect_list(F.struct(*keep))).alias("points"),
     )
     at = np.array(pairs)
+    kind = points.schema[key].dataType.simpleString()
+    listed = sums.schema["points"].dataType.simpleString()
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
+            n = b.num_rows
+            if not n:
                 continue
-            a = np.zeros((len(b), p, p))
-            flat = np.stack(b["xx"].to_numpy())
-            a[:, at[:, 0], at[:, 1]] = flat
-            a[:, at[:, 1], at[:, 0]] = flat
+            xx = b.column("xx").flatten().to_numpy().reshape(n, len(at))
+            xy = b.column("xy").flatten().to_numpy().reshape(n, p)
+            a = np.zeros((n, p, p))
+            a[:, at[:, 0], at[:, 1]] = xx
+            a[:, at[:, 1], at[:, 0]] = xx
             pad = ridge * a[:, 0, 0]
+            a[:, 0, 0] += a[:, 0, 0] == 0
             for i in range(1, p):
                 a[:, i, i] += pad + 1e-12
-            beta = np.linalg.solve(a, np.stack(b["xy"].to_numpy())[..., None])[..., 0]
-            yield pd.DataFrame({key: b[key], "beta": list(beta)})
+            beta = np.linalg.solve(a, xy[..., None])[..., 0]
+            lists = pa.ListArray.from_arrays(np.arange(0, n * p + 1, p, dtype=np.int32), beta.ravel())
+            yield pa.RecordBatch.from_arrays([b.column(key), lists, b.column("points")], names=[key, "beta", "points"])
 
-    kind = points.schema[key].dataType.simpleString()
-    return sums.mapInPandas(solve, f"`{key}` {kind}, beta array<double>")
+    return sums.mapInArrow(solve, f"`{key}` {kind}, beta array<double>, points {listed}")
 
 
-def session_axis(sessions: DataFrame, seasons: Sequence[tuple[float, int]] = SEASONS) -> tuple[DataFrame, list[str]]:
-    """Sessions numbered from 0 with the regression's basis. A calendar is small: its window runs in one task."""
+def session_axis(sessions: DataFrame) -> DataFrame:
+    """``day, step``: sessions numbered from 0. A calendar is small: its window runs in one task."""
     days = sessions.select(F.col("session_date").cast("date").alias("day")).where("day is not null").distinct()
-    axis = days.withColumn("step", F.row_number().over(Window.orderBy("day")) - 1)
-    xs = basis(F.col("step"), seasons)
-    names = [f"__x{i}" for i in range(len(xs))]
-    return axis.select("day", "step", *(x.alias(n) for x, n in zip(xs, names, strict=True))), names
+    return days.withColumn("step", F.row_number().over(Window.orderBy("day")) - 1)
 
 
 def session_values(bars: DataFrame, axis: DataFrame, field: str = "close") -> DataFrame:
     """Rows ``symbol, step, value, n``: the last usable reading of each session and the count of usable ones."""
     r = readings(bars, [field]).where(usable(field))
     per_day = r.groupBy("symbol", "day").agg(F.max_by(field, "event_time").alias("value"), F.count("*").alias("n"))
-    return per_day.join(small(axis, MAX_GRID), "day")
+    return per_day.join(axis, "day")
 
 
 def regular_grid(bars: DataFrame, sessions: DataFrame, field: str = "close") -> DataFrame:
@@ -94,34 +101,28 @@ def regular_grid(bars: DataFrame, sessions: DataFrame, field: str = "close") ->
     rows. Where a neighbour is infinite the estimate is what the arithmetic gives.
     Work: one exchange of the readings by (symbol, day), one of at most one row a symbol and session by symbol.
     """
-    axis, xs = session_axis(sessions)
-    points = session_values(bars, axis, field).repartition("symbol")
-    beta = fit(points, "symbol", "value", xs)
-
-    def model(cols: Sequence[Column]) -> Column:
-        return sum((F.get(F.col("beta"), F.lit(i)) * c for i, c in enumerate(cols)), F.lit(0.0))
-
-    by_step = Window.partitionBy("symbol").orderBy("step")
-    seen = (
-        points.join(beta, "symbol", "left")
-        .withColumn("__fit", F.coalesce(model([F.col(x) for x in xs]), F.lit(0.0)))
-        .withColumn("__res", F.col("value") - F.col("__fit"))
-        .withColumn("__next", F.lead("step").over(by_step))
-        .withColumn("__next_res", F.lead("__res").over(by_step))
-        .drop(*xs)
-    )
-    at = seen.withColumn("__at", F.explode(F.sequence("step", F.coalesce(F.col("__next") - 1, F.col("step")))))
-    here = F.col("__at") == F.col("step")
-    share = F.try_divide((F.col("__at") - F.col("step")).cast("double"), (F.col("__next") - F.col("step")).cast("double"))
-    fitted = F.when(here, F.col("__fit")).otherwise(F.coalesce(model(basis(F.col("__at"))), F.lit(0.0)))
-    bridge = F.col("__res") * (F.lit(1.0) - share) + F.col("__next_res") * share
-    dates = small(axis.select(F.col("step").alias("__at"), F.col("day").alias("session_day")), MAX_GRID)
-    return at.join(dates, "__at").select(
+    axis = small(session_axis(sessions), MAX_GRID)
+    points = session_values(bars, axis, field)
+    fitted_keys = fit(points, "symbol", "value", basis(F.col("step")), ["step", "value", "n"])
+
+    def model(step: Column) -> Column:
+        return sum((F.get(F.col("beta"), F.lit(i)) * c for i, c in enumerate(basis(step))), F.lit(0.0))
+
+    pairs = fitted_keys.select("symbol", "beta", "points", F.posexplode("points").alias("__i", "here"))
+    pairs = pairs.select("symbol", "beta", "here", F.get("points", F.col("__i") + 1).alias("next"))
+    first, last = F.col("here.step"), F.coalesce(F.col("next.step") - 1, F.col("here.step"))
+    at = pairs.withColumns({"res": F.col("here.value") - model(first), "next_res": F.col("next.value") - model(F.col("next.step"))}).withColumn("at", F.explode(F.sequence(first, last)))
+    own = F.col("at") == first
+    share = F.try_divide((F.col("at") - first).cast("double"), (F.col("next.step") - first).cast("double"))
+    bridge = F.col("res") * (F.lit(1.0) - share) + F.col("next_res") * share
+    out = at.withColumn("fitted", model(F.col("at")))
+    dates = axis.select(F.col("step").alias("at"), F.col("day").alias("session_day"))
+    return out.join(dates, "at").select(
         "symbol",
         day_text("session_day").alias("session_date"),
-        F.when(here, F.col("value")).otherwise(fitted + bridge).alias("value"),
-        fitted.alias("fitted"),
-        (~here).alias("filled"),
-        F.when(here, F.col("n")).otherwise(F.lit(0)).alias("n_readings"),
-        F.when(here, F.lit(0)).otherwise(F.col("__next") - F.col("step") - 1).alias("gap"),
+        F.when(own, F.col("here.value")).otherwise(F.col("fitted") + bridge).alias("value"),
+        "fitted",
+        (~own).alias("filled"),
+        F.when(own, F.col("here.n")).otherwise(F.lit(0)).alias("n_readings"),
+        F.when(own, F.lit(0)).otherwise(F.col("next.step") - first - 1).alias("gap"),
     )
