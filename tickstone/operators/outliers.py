@@ -253,7 +253,8 @@ def implausible(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     # by piece, not by symbol: the join then moves no rows of a long series together
     last = F.floor((F.col("total") - 1) / limits.piece)
     stats = stats.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("total")
-    tested = parts.drop("total").join(stats, ["symbol", "piece"]).sortWithinPartitions(*by_piece)
+    # both passes read every column of the pieces, so that Spark makes their exchange once
+    tested = parts.join(stats, ["symbol", "piece"]).sortWithinPartitions(*by_piece)
     return tested.mapInPandas(_tests(limits), "symbol string, event_us bigint, field string, kind string, value double")
 
 
