@@ -78,6 +78,8 @@ def test_parts_slips_and_order(spark):
         12: (" ".join(filler(rng, 5000)) + " " + " ".join(w[20:42]) + " " + " ".join(filler(rng, 5000)), True),
         13: (" ".join(w * 60), True),
     }
+    # a part that holds, beside one with too many slips
+    cases[14] = (" ".join([*w[:24], *[x for y in w[24:45:4] for x in (y, *w[w.index(y) + 1 : w.index(y) + 3], "zzz")]]), True)
     got = run(spark, [(k, t) for k, (t, _) in cases.items()], [(1, " ".join(w)), (2, None), (3, ""), (4, "too short")])
     assert set(got) == {(k, 1) for k, (_, yes) in cases.items() if yes}
     assert got[1, 1].passage_words == 20 and got[1, 1].longest_match == 20 and got[12, 1].first_word == 5000

@@ -171,11 +171,13 @@ def _passages(doc_id: int, text: np.ndarray, at: np.ndarray, length: np.ndarray,
         size, over = max(512, 6 * len(item)), 2 * len(item) + reach
         for a in range(lo, max(lo + 1, hi - over if hi - lo > size else lo + 1), size - over):
             b = min(hi, a + size)
-            f, _, g, h, slips = align(text[a:b], item)
-            if h <= g:
-                continue
-            n = int(items.places[i][h - 1] - items.places[i][g] + 1)
-            if n >= p.least_words and slips <= p.slip_share * n and (best is None or n - slips > best[2] - best[3]):
+            # dearer slips cut a passage with too many of them down to a part that holds
+            for cost in (3, 6, 12):
+                f, _, g, h, slips = align(text[a:b], item, cost)
+                n = int(items.places[i][h - 1] - items.places[i][g] + 1) if h > g else 0
+                if n < p.least_words or slips <= p.slip_share * n:
+                    break
+            if n >= p.least_words and (best is None or n - slips > best[2] - best[3]):
                 best = (doc_id, items.ids[i], n, slips, int(length[part].max()), int(a + f))
     if best:
         yield best
