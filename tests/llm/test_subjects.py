@@ -57,10 +57,13 @@ def test_two_languages_have_their_own_terms():
     model = fit(train.reset_index(drop=True), sorted(TERMS))
     assert set(model["terms"]) == {"", "en", "xx"}
     rest = df.drop(train.index)
+    # a quotation in the other language counts by its own terms
+    quoted = pd.DataFrame({"text": [f"{COMMON[0]} {other[1][1]} " + " ".join(FRAMES[0].format(x) for x in TERMS["law"] * 3)], "source": [None], "lang": ["xx"]})
+    assert decode(model, quoted)[0][0, sorted(TERMS).index("law")] == 1
     label, share, p = decode(model, rest.reset_index(drop=True))
     want = np.array([[s in both[i][4] for s in sorted(TERMS)] for i in rest.index])
     assert (label == want).mean() > 0.98 and share.min() >= 0 and share.max() <= 1 + 1e-9 and (p <= 1 + 1e-9).all()
-    assert languages([sentences(other[0][1]), sentences("")], model["languages"]) == ["xx", ""]
+    assert list(languages(sentences(other[0][1])[:1] + sentences(both[0][1])[:1] + [["zzz"]], np.array([0, 1, 2]), model["languages"]))[:2] == ["xx", "en"]
 
 
 def test_null_empty_and_long_texts(spark):

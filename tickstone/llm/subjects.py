@@ -2,8 +2,9 @@
 
 Terms are turned into features by a mixture over sentences that is fitted to the labelled documents: each sentence is about one subject
 or none, and a label only says that the subject is among its document's sentences. Terms that all labels share (common
-phrases, figures of speech) thereby fall to "none". Each language has its own mixture; a document's language is told from
-its words, as the given one may be wrong. A document's term features are the shares of its sentences by subject.
+phrases, figures of speech) thereby fall to "none". Each language has its own mixture; a sentence's language is told from
+its words, as the given one may be wrong and texts quote others. A document's term features are the shares of its sentences by
+subject.
 A chain of logistic models, one a subject, takes these, the source and the document's structure, and the decisions of the links
 before it, so it follows which subjects go together. Each link is calibrated on documents that it was not fitted on;
 a beam search finds the most probable combination of labels.
@@ -62,60 +63,66 @@ def _structure(text: str | None, n: int) -> list[float]:
 
 
 class _Terms:
-    """Sentences of a set of documents as rows of a sparse matrix."""
+    """Sentences as rows of a sparse matrix of the terms that have a number."""
 
-    def __init__(self, docs: Sequence[list[list[str]]], number: dict[str, int]):
-        rows: list[int] = []
+    def __init__(self, rows: Sequence[list[str]], number: dict[str, int]):
+        at: list[int] = []
         cols: list[int] = []
-        self.doc: np.ndarray
-        doc: list[int] = []
-        r = 0
-        for d, ss in enumerate(docs):
-            for s in ss:
-                got = {number[t] for t in s if t in number}
-                cols.extend(got)
-                rows.extend([r] * len(got))
-                doc.append(d)
-                r += 1
-        self.n = r
-        self.row, self.col, self.doc = np.array(rows, np.int64), np.array(cols, np.int64), np.array(doc, np.int64)
+        for r, s in enumerate(rows):
+            got = {number[t] for t in s if t in number}
+            cols.extend(got)
+            at.extend([r] * len(got))
+        self.n = len(rows)
+        self.row, self.col = np.array(at, np.int64), np.array(cols, np.int64)
+
+    def total(self, logs: np.ndarray) -> np.ndarray:
+        """Sum of ``logs`` (class, term) over each row's terms."""
+        return np.stack([np.bincount(self.row, weights=x[self.col], minlength=self.n) for x in logs], axis=1)
 
     def score(self, logs: np.ndarray) -> np.ndarray:
-        """Sum of ``logs`` (class, term) over each row's terms, weighed down since terms overlap."""
+        """``total``, weighed down since terms overlap."""
         n = np.maximum(np.bincount(self.row, minlength=self.n), 1)
-        return np.stack([np.bincount(self.row, weights=x[self.col], minlength=self.n) for x in logs], axis=1) * (0.5 + 0.5 / n)[:, None]
+        return self.total(logs) * (0.5 + 0.5 / n)[:, None]
 
     def counts(self, post: np.ndarray, terms: int) -> np.ndarray:
         return np.stack([np.bincount(self.col, weights=p[self.row], minlength=terms) for p in post.T])
 
 
+def _flat(docs: Sequence[list[list[str]]]) -> tuple[list[list[str]], np.ndarray]:
+    """All sentences, and the document of each."""
+    return [s for ss in docs for s in ss], np.repeat(np.arange(len(docs)), [len(ss) for ss in docs])
+
+
 def _posterior(score: np.ndarray, log_prior: np.ndarray) -> np.ndarray:
     z = score + log_prior
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit_terms(docs: Sequence[list[list[str]]], labels: np.ndarray, t: Training) -> tuple[dict[str, int], np.ndarray]:
-    """Term numbers and the log distribution of terms in each subject and (last) in none."""
-    least = 3 if len(docs) >= 400 else 2
-    seen: dict[str, int] = {}
-    for ss in docs:
-        for x in {x for s in ss for x in s}:
-            seen[x] = seen.get(x, 0) + 1
-    number = {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if n >= least))}
-    m = _Terms(docs, number)
+def fit_terms(rows: Sequence[list[str]], doc: np.ndarray, labels: np.ndarray, t: Training) -> tuple[dict[str, int], np.ndarray]:
+    """Term numbers and the log distribution of terms in each subject and (last) in none.
+
+    ``doc`` is the document of each sentence, ``labels`` (documents by subjects) what is said of the document.
+    """
+    least = 3 if len(np.unique(doc)) >= 400 else 2
+    seen: dict[str, set[int]] = {}
+    for s, d in zip(rows, doc.tolist(), strict=True):
+        for x in s:
+            seen.setdefault(x, set()).add(d)
+    number = {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if len(n) >= least))}
+    m = _Terms(rows, number)
     k, terms = labels.shape[1], len(number)
     given = labels / np.maximum(labels.sum(axis=1, keepdims=True), 1)
     some = labels.any(axis=1, keepdims=True)
     prior = np.hstack([np.where(some, 0.5 * given + 0.1 / k, 0.1 / k), np.where(some, 0.4, 0.9)])
-    log_prior = np.log(prior)[m.doc]
+    log_prior = np.log(prior)[doc]
     post = np.exp(log_prior)
     common = np.bincount(m.col, minlength=terms) + 0.1
-    common = common / common.sum()
+    common = common / max(common.sum(), 1e-9)
     logs = np.zeros((k + 1, terms))
     for _ in range(t.rounds):
         n = m.counts(post, terms) + t.smooth * common
-        logs = np.log(n / n.sum(axis=1, keepdims=True))
+        logs = np.log(n / np.maximum(n.sum(axis=1, keepdims=True), 1e-9))
         post = _posterior(m.score(logs), log_prior)
     return number, logs
 
@@ -123,53 +130,46 @@ def fit_terms(docs: Sequence[list[list[str]]], labels: np.ndarray, t: Training)
 def fit_languages(docs: Sequence[list[list[str]]], langs: Sequence[str | None]) -> tuple[list[str], dict[str, int], np.ndarray]:
     """Languages, word numbers and log distributions of words, from documents whose language is given."""
     names = sorted({x for x in langs if x})
+    at = {x: i for i, x in enumerate(names)}
     number: dict[str, int] = {}
-    for ss in docs:
-        for x in {x for s in ss for x in s if " " not in x}:
-            number.setdefault(x, len(number))
+    own = [{x for s in ss for x in s if " " not in x} for ss in docs]
+    for x in sorted(set().union(*own)) if own else []:
+        number[x] = len(number)
     n = np.full((len(names), len(number)), 0.1)
-    for ss, lang in zip(docs, langs, strict=True):
+    for got, lang in zip(own, langs, strict=True):
         if lang:
-            for x in {x for s in ss for x in s if " " not in x}:
-                n[names.index(lang), number[x]] += 1
+            n[at[lang], [number[x] for x in got]] += 1
     return names, number, np.log(n / np.maximum(n.sum(axis=1, keepdims=True), 1e-9))
 
 
-def languages(docs: Sequence[list[list[str]]], model: tuple[list[str], dict[str, int], np.ndarray]) -> list[str]:
-    """The likeliest language of each document; an empty string where none is known."""
+def languages(rows: Sequence[list[str]], doc: np.ndarray, model: tuple[list[str], dict[str, int], np.ndarray]) -> np.ndarray:
+    """The likeliest language of each sentence by its words and, a little, those of its document; ``""`` where none is known."""
     names, number, logs = model
-    out = []
-    for ss in docs:
-        at = [number[x] for x in {x for s in ss for x in s} if x in number]
-        out.append(names[int(logs[:, at].sum(axis=1).argmax())] if names and at else "")
-    return out
+    if not names or not len(rows):
+        return np.full(len(rows), "", object)
+    score = _Terms(rows, number).total(logs)
+    whole = np.stack([np.bincount(doc, weights=x) for x in score.T], axis=1)
+    return np.array(names, object)[(score + 0.01 * whole[doc]).argmax(axis=1)]
 
 
 def shares(docs: Sequence[list[list[str]]], model: dict) -> np.ndarray:
-    """Share of each document's sentences by subject, by the mixture of its language."""
-    langs = np.array(languages(docs, model["languages"]), object)
-    terms = model["terms"]
-    out = np.zeros((len(docs), len(model["names"])))
-    use = np.array([x if x in terms else "" for x in langs], object)
+    """Share of each document's sentences by subject, each sentence by its language's mixture. Without sentences there is none."""
+    rows, doc = _flat(docs)
+    k = len(model["names"])
+    if not rows:
+        return np.zeros((len(docs), k))
+    langs = languages(rows, doc, model["languages"])
+    use = np.array([x if x in model["terms"] else "" for x in langs], object)
+    score = np.zeros((len(rows), k + 1))
     for lang in set(use):
         mine = np.flatnonzero(use == lang)
-        out[mine] = _shares([docs[i] for i in mine], *terms[lang])
-    return out
-
-
-def _shares(docs: Sequence[list[list[str]]], number: dict[str, int], logs: np.ndarray) -> np.ndarray:
-    """A document without sentences has no share of any subject."""
-    m = _Terms(docs, number)
-    k = len(logs) - 1
-    out = np.zeros((len(docs), k))
-    if not m.n:
-        return out
-    n = np.maximum(np.bincount(m.doc, minlength=len(docs)), 1)
-    score = m.score(logs)
+        number, logs = model["terms"][lang]
+        score[mine] = _Terms([rows[i] for i in mine], number).score(logs)
+    n = np.maximum(np.bincount(doc, minlength=len(docs)), 1)
     mix = np.tile(np.r_[np.full(k, 0.5 / k), 0.5], (len(docs), 1))
     for _ in range(3):
-        post = _posterior(score, np.log(mix)[m.doc])
-        total = np.stack([np.bincount(m.doc, weights=p, minlength=len(docs)) for p in post.T], axis=1)
+        post = _posterior(score, np.log(mix)[doc])
+        total = np.stack([np.bincount(doc, weights=p, minlength=len(docs)) for p in post.T], axis=1)
         mix = (total + 0.05) / (n + 0.05 * (k + 1))[:, None]
     return total[:, :k] / n[:, None]
 
@@ -216,12 +216,18 @@ def fit(rows: pd.DataFrame, names: list[str], t: Training = Training()) -> dict:
     held = np.arange(len(rows)) % max(2, round(1 / t.held_out)) == 0
     fitted = ~held if len(rows) > 1 else np.ones(len(rows), bool)
     model = {"names": names, "beam": t.beam, "languages": fit_languages(docs, list(rows["lang"]))}
-    told = np.array(languages(docs, model["languages"]), object)
-    model["terms"] = {"": fit_terms([docs[i] for i in np.flatnonzero(fitted)], y[fitted], t)}
+    flat, doc = _flat(docs)
+    told = languages(flat, doc, model["languages"])
+    use = fitted[doc] if len(doc) else np.zeros(0, bool)
+
+    def mixture(mine: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        return fit_terms([flat[i] for i in np.flatnonzero(mine)], doc[mine], y, t)
+
+    model["terms"] = {"": mixture(use)}
     for lang in sorted(set(told)):
-        mine = np.flatnonzero(fitted & (told == lang))
-        if len(mine) >= t.least_of_language:
-            model["terms"][lang] = fit_terms([docs[i] for i in mine], y[mine], t)
+        mine = use & (told == lang)
+        if len(np.unique(doc[mine])) >= t.least_of_language:
+            model["terms"][lang] = mixture(mine)
     sources = sorted({s for s in rows["source"] if s})
     source, structure = _inputs(sources, rows, docs)
     x = _features(shares(docs, model), source, structure)
