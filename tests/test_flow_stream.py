@@ -227,3 +227,15 @@ def test_stream_features_are_the_batch_ones(spark, tmp_path):
     assert len(a) == 60 and all(x[:2] == y[:2] and all(abs(p - q) < 1e-12 for p, q in zip(x[2:], y[2:], strict=True)) for x, y in zip(a, b, strict=True))
     with pytest.raises(ValueError):
         live_features(stream, 5)
+
+
+def test_demo_run_and_replay(spark, tmp_path):
+    from tickstone.plans.research import AS_OF, Evaluation, research_flow, run_demo
+    from tickstone.sources.files import CsvBars
+
+    out = run_demo(spark, tmp_path, iterations=2)
+    assert out[Evaluation].values["eval_rows"] == 640 and out[Evaluation].values["train_rows"] == 3860
+    card = json.loads((tmp_path / "card.json").read_text())
+    assert card["data"] == {"visible_rows": 4565, "excluded_rows": 50, "feature_rows": 4510}
+    flow = research_flow(spark, CsvBars(spark, str(tmp_path / "bars")), iterations=2)
+    assert len(flow.replay(spark, [Tick.from_datetime(AS_OF)], tmp_path / "events.jsonl", "demo", tmp_path / "again.jsonl")) == 1

@@ -12,6 +12,7 @@ from tickstone.operators.bars import close_of, daily_to_pit, visible_at_ticks
 from tickstone.schemas import RAW_BAR
 from tickstone.sources.atomic import write_text
 from tickstone.sources.calendar import holidays, sessions, short_sessions, weekdays
+from tickstone.sources.dataset import build_dataset
 from tickstone.sources.files import CsvBars, file_hashes, holdings, publish, raw_bars, synthetic_bars, universe_members, write_card, write_csv, write_universe
 from tickstone.sources.pit_store import PitStore, aware
 
@@ -109,11 +110,12 @@ HOLDINGS = """Some fund
 Fund Holdings as of,"Oct 15, 2026"
 
 Ticker,Name,Asset Class,Location,Exchange
-"BRK B",X,Equity,United States,New York Stock Exchange Inc.
+"BRK B",X,Equity,United States,NYSE
  aapl,Y,Equity,United States,NASDAQ
 aapl,Y,Equity,United States,NASDAQ
 USD,Cash,Cash,United States,-
 SAP,Z,Equity,Germany,NASDAQ
+OTC,Q,Equity,United States,OTC
 ,W,Equity,United States,NASDAQ
 """
 
@@ -126,6 +128,21 @@ def test_holdings(spark):
             holdings(spark, broken)
 
 
+def test_dataset(spark, tmp_path):
+    write_universe(tmp_path / "u.json", "I", "P", date(2025, 1, 1), NOW, ["A", "B", "C"])
+    for s in ("A", "B"):
+        rows = [(s, datetime(2025, 1, d, 5, tzinfo=UTC), *[1.0 * d] * 5, None, None) for d in (2, 3, 6)]
+        spark.createDataFrame(rows, RAW_BAR).coalesce(1).write.parquet(str(tmp_path / f"raw/{s}.parquet"))
+    args = (spark, tmp_path / "u.json", str(tmp_path / "raw"), str(tmp_path / "store"), tmp_path / "out", session_frame(spark), date(2025, 1, 3), date(2025, 1, 7))
+    first, again = build_dataset(*args), build_dataset(*args)
+    assert (first.inserted, first.absent, again.inserted) == (4, ["C"], 0) and first.snapshot_id == again.snapshot_id
+    body = json.loads((tmp_path / "out/snapshots" / first.snapshot_id / "manifest.json").read_text())
+    assert body["coverage"]["rows"] == 4 and body["coverage"]["symbols"] == 2 and set(body["source_bar_file_sha256"]) == {"A", "B"}
+    assert PitStore(spark, str(tmp_path / "out/snapshots" / first.snapshot_id / "bars")).read(NOW).count() == 4
+    with pytest.raises(ValueError):
+        build_dataset(*args[:-2], date(2025, 1, 7), date(2025, 1, 3))
+
+
 def test_universe_and_snapshots(spark, tmp_path):
     write_universe(tmp_path / "u.json", "I", "P", date(2025, 1, 1), NOW, ["B", "A", "B"])
     assert [r.symbol for r in universe_members(spark, str(tmp_path / "u.json")).collect()] == ["A", "B"]

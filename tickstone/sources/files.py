@@ -72,12 +72,12 @@ def universe_members(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("symbols").alias("symbol")).distinct().orderBy("symbol")
 
 
-# What makes a holdings row a listed share.
-EXCHANGES = ("NASDAQ", "New York Stock Exchange Inc.", "Cboe BZX formerly known as BATS")
-AS_OF_LINE, HEADER_START = "Fund Holdings as of", "Ticker,"
+# Exchanges of a listed share, and how the date line and the header of a holdings file begin.
+EXCHANGES = ("NASDAQ", "NYSE")
+AS_OF_LINE, HEADER_START = "Fund Holdings as of", "Ticker,Name,"
 
 
-def holdings(spark: SparkSession, text: str, exchanges: Sequence[str] | None = None, asset_class: str = "Equity", location: str = "United States") -> tuple[date, DataFrame]:
+def holdings(spark: SparkSession, text: str, exchanges: Sequence[str] | None = EXCHANGES, asset_class: str = "Equity", location: str = "United States") -> tuple[date, DataFrame]:
     """The date and the sorted distinct symbols of a holdings file: free lines, a line with the date, a header, rows.
 
     Rows count if ``Asset Class`` and ``Location`` are the given ones, the ``Exchange`` is listed (None: any) and the ticker is not
