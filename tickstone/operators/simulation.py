@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickstone.functions.columns import finite, norm_symbol
+from tickstone.session import small
 
 NEEDED = ("symbol", "event_time", "open", "close", "target_weight", "signal_available_at", "adv_dollars", "annual_volatility")
 RESULT = "event_time timestamp, gross_return double, transaction_costs double, turnover double, net_return double, equity double"
@@ -61,7 +62,7 @@ def violations(panel: DataFrame, opens: DataFrame | None = None) -> DataFrame:
     late = F.lit(False)
     off = F.lit(False)
     if opens is not None:
-        days = F.broadcast(opens.select(F.col("session_date").cast("date").alias("__day"), "open_utc").limit(100_000))
+        days = small(opens.select(F.col("session_date").cast("date").alias("__day"), "open_utc").dropDuplicates(["__day"]), 100_000)
         p = p.withColumn("__day", F.to_date("event_time")).join(days, "__day", "left")
         late, off = F.col("signal_available_at") > F.col("open_utc"), F.col("open_utc").isNull()
     checks = [
@@ -83,7 +84,7 @@ def violations(panel: DataFrame, opens: DataFrame | None = None) -> DataFrame:
 def missing_next(panel: DataFrame) -> DataFrame:
     """Symbols held after a session that have no bar in the next one, at the later session's time."""
     times = panel.select("event_time").distinct().withColumn("next", F.lead("event_time").over(Window.partitionBy(F.lit(0)).orderBy("event_time")))
-    held = panel.where("target_weight > 0").select("event_time", "symbol").join(F.broadcast(times.limit(1_000_000)), "event_time").where("next is not null")
+    held = panel.where("target_weight > 0").select("event_time", "symbol").join(times, "event_time").where("next is not null")
     gone = held.select(F.col("next").alias("event_time"), "symbol").join(panel.select("event_time", "symbol"), ["event_time", "symbol"], "left_anti")
     return gone.select("event_time", F.lit(3).alias("phase"), "symbol", F.lit("held symbol has no bar").alias("problem"))
 
