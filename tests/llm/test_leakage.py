@@ -155,4 +155,6 @@ def test_words():
     assert words("A second-hand co-\noperative's &amp; 1,234") == ["a", "second", "hand", "cooperatives", "1", "234"]
     assert counted_words("a second-hand -- thing")[1] == [0, 1, 1, 2]
     assert plain("1 < 2 and 3 > 2").split() == ["1", "<", "2", "and", "3", ">", "2"]
+    assert words("a <!-- hidden --> b <!-- open x<y and z>w <b>bo</b>ld<br/>new") == ["a", "b", "open", "x", "y", "and", "z", "w", "bold", "new"]
+    assert len(words("<!-- " * 50_000)) == 0
     assert words("x" * 200_000) == ["x" * 200_000] and len(words("<" * 20_000)) == 0

@@ -87,6 +87,8 @@ def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, t, s, g) for i, t, s, g, *_ in rows], "doc_id bigint, text string, source string, lang string")
     labels = spark.createDataFrame([(i, x) for i, *_, label in rows for x in label], "doc_id bigint, subject string")
     assert len(labelled(docs, labels, Training(most_documents=20))) == 20
+    few = labelled(docs, labels, Training(most_chars=5000))
+    assert 0 < sum(map(len, few.text)) <= 5000 and list(few.doc_id) == list(labelled(docs, labels).doc_id)[: len(few)]
     assert list(labelled(docs, labels).text) == list(labelled(docs.repartition(5), labels).text)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tickstone.functions.columns import norm_source, strip
 from tickstone.llm.spread import spread
-from tickstone.llm.subjects import Training, decode, fit, labelled
+from tickstone.llm.subjects import Training, decode, fit, labelled, subject_names
 from tickstone.llm.tokens import DEFAULT, counter
 from tickstone.session import cut
 
@@ -42,7 +42,7 @@ def measured(documents: DataFrame, subjects: DataFrame, labels: DataFrame, token
     blank ``lang`` is ``und``; a null or blank ``source`` stays null. Null and blank texts have no tokens.
     """
     spark = documents.sparkSession
-    names = sorted({r[0] for r in subjects.where("subject is not null").select(F.lower(strip("subject"))).distinct().limit(10_000).collect() if r[0]})
+    names = subject_names(subjects)
     rows = labelled(documents, labels, training)
     sent = spark.sparkContext.broadcast(fit(rows, names, training) if names and len(rows) else None)
     lang = F.coalesce(F.nullif(F.lower(strip("lang")), F.lit("")), F.lit("und"))

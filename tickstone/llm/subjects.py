@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickstone.functions.columns import norm_source, strip
@@ -32,13 +32,14 @@ SCHEMA = "doc_id bigint, subject string, share double, probability double"
 
 @dataclass(frozen=True)
 class Training:
-    """``most_documents``: labelled documents that are fitted on at most (the least by hash of ``doc_id``); the driver
-    holds their texts. ``held_out``: share of them kept for calibration. ``rounds`` of the mixture's fit; ``smooth``:
+    """``most_documents``: labelled documents that are fitted on at most (the least by hash of ``doc_id``), and
+    ``most_chars``: characters of their texts together at most, in the same order; the driver holds these texts. ``held_out``: share of them kept for calibration. ``rounds`` of the mixture's fit; ``smooth``:
     pseudo-counts of the common distribution in each subject's. ``ridge`` of the chain's links. ``beam``: combinations
     kept while decoding. ``least_of_language``: labelled documents from which on a language has its own mixture.
     """
 
     most_documents: int = 8000
+    most_chars: int = 40_000_000
     held_out: float = 0.25
     rounds: int = 30
     smooth: float = 30.0
@@ -286,7 +287,19 @@ def labelled(documents: DataFrame, labels: DataFrame, t: Training = Training())
     given = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.lower(strip("subject")))).alias("labels"))
     texts = documents.where("text is not null").select("doc_id", "text", F.nullif(F.lower(strip("lang")), F.lit("")).alias("lang"), norm_source("source").alias("source"))
     sample = F.broadcast(given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(t.most_documents))
-    return texts.join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toPandas()
+    got = texts.join(sample, "doc_id")
+    # a window in one task, over at most most_documents ids
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    got = got.withColumn("__chars", F.sum(F.char_length("text")).over(upto)).where(F.col("__chars") <= t.most_chars).drop("__chars")
+    return got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toPandas()
+
+
+def subject_names(subjects: DataFrame, most: int = 10_000) -> list[str]:
+    """The keys of ``subjects``, trimmed and in lower case, sorted; more than ``most`` are refused."""
+    rows = subjects.where("subject is not null").select(F.lower(strip("subject"))).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} subjects")
+    return sorted(r[0] for r in rows if r[0])
 
 
 def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, t: Training = Training()) -> DataFrame:
@@ -298,9 +311,7 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, t:
     The classifier is fitted on a bounded sample of labelled documents (``Training.most_documents``); every document is
     then decoded, its text whole. Work: a join of the labels with their documents; no exchange for decoding.
     """
-    names = sorted({r[0] for r in subjects.where("subject is not null").select(F.lower(strip("subject"))).distinct().limit(10_001).collect() if r[0]})
-    if len(names) > 10_000:
-        raise ValueError("more than 10,000 subjects")
+    names = subject_names(subjects)
     rows = labelled(documents, labels, t)
     spark = documents.sparkSession
     if not names or not len(rows):

@@ -10,10 +10,15 @@ import regex
 # Cyrillic and Greek letters that look like Latin ones, after case folding.
 LOOK_ALIKE = str.maketrans("авеёзкмнорстухіјѕԁһԛԝґѵαβεηικνορτυχγ", "abee3kmhopctyxijsdhqwgvabehikvoptuxy")
 
-# Tags that stand inside a line; any other tag parts words.
-INLINE = "b|i|u|s|a|em|strong|span|font|mark|code|small|sub|sup|tt|q|cite|abbr|del|ins|kbd|var"
-_INLINE = regex.compile(rf"</?(?:{INLINE})(?:\s[^<>]*)?/?>", regex.I)
-_TAG = regex.compile(r"<[/!?]?[a-z][^<>]*>|<!--.*?-->", regex.I | regex.S)
+# HTML elements that stand inside a line, and those that part words. Other angle brackets are text.
+INLINE = "a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+BLOCK = (
+    "address area article aside audio base blockquote body br button canvas caption center col colgroup dd details dialog dir div dl dt embed fieldset figcaption figure footer form frame"
+    " frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe img input legend li link main map menu meta nav noscript object ol optgroup option output p param picture pre"
+    " progress script section select source style summary svg table tbody td template textarea tfoot th thead title tr track ul video"
+)
+_INLINE = regex.compile(rf"</?(?:{INLINE.replace(' ', '|')})(?:\s[^<>]*)?/?>", regex.I)
+_TAG = regex.compile(rf"</?(?:{BLOCK.replace(' ', '|')})(?:\s[^<>]*)?/?>|<!doctype[^<>]*>", regex.I)
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}\p{Co}\p{Cs}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f︀-️]+")
 _BROKEN = regex.compile(r"(?<=\p{L})-[ \t]*\r?\n[ \t]*(?=\p{Ll})")
 _APOSTROPHE = regex.compile(r"(?<=\w)['‘’ʼ´`](?=\w)")
@@ -21,6 +26,15 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _SPACED = regex.compile(r"\S+")
 
 
+def _without_comments(t: str) -> str:
+    """``t`` without closed HTML comments, in linear time however many are left open."""
+    out, at = [], 0
+    while (a := t.find("<!--", at)) >= 0 and (b := t.find("-->", a + 4)) >= 0:
+        out.append(t[at:a])
+        at = b + 3
+    return " ".join([*out, t[at:]])
+
+
 def plain(text: str) -> str:
     """Case, compatibility forms, markup, entities, accents, unseen and look-alike characters taken away.
 
@@ -28,7 +42,7 @@ def plain(text: str) -> str:
     """
     t = html.unescape(text) if "&" in text else text
     if "<" in t:
-        t = _TAG.sub(" ", _INLINE.sub("", t))
+        t = _TAG.sub(" ", _INLINE.sub("", _without_comments(t)))
     if t.isascii():
         t = t.lower()
     else:
