@@ -84,9 +84,49 @@ FROM (SELECT *, unnest(list_filter([CASE WHEN active_7 = 0 THEN 'idle7' END, CAS
                                     CASE WHEN volume_7 * 2 > volume_30 THEN 'surge' END], lambda m: m IS NOT NULL)) AS mark
       FROM totals WHERE day_number >= 30)"""
 
+# P3 by its rules alone, without the fitted model: what is away from both sides while they agree, and from the level around
+_AWAY = " OR ".join(
+    "(" + " AND ".join([f"abs(b{a} - n{b}) <= far", *(f"abs({x} - b{a}) > far AND abs({x} - n{b}) > far" for x in [*(f"b{k}" for k in range(1, a)), "l", *(f"n{k}" for k in range(1, b))])]) + ")"
+    for a in (1, 2, 3)
+    for b in (1, 2, 3)
+    if a + b <= 4
+)
+P3 = f"""
+WITH base AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, event_time ORDER BY available_at NULLS LAST, close NULLS FIRST, open NULLS FIRST, volume NULLS FIRST, adj_factor NULLS FIRST) AS k
+    FROM (SELECT {SYMBOL.format("symbol")} AS symbol, event_time, available_at, close, open, volume, adj_factor FROM pit_bars) WHERE symbol IS NOT NULL AND event_time IS NOT NULL) WHERE k = 1),
+long AS (
+  SELECT symbol, epoch_us(event_time) AS event_us, unnest(['close', 'open', 'volume', 'adj_factor']) AS field, unnest([close, open, volume, adj_factor]) AS v FROM base),
+logs AS (
+  SELECT *, lag(l, 1) OVER w AS b1, lag(l, 2) OVER w AS b2, lag(l, 3) OVER w AS b3, lead(l, 1) OVER w AS n1, lead(l, 2) OVER w AS n2, lead(l, 3) OVER w AS n3,
+         median(l) OVER (PARTITION BY symbol, field ORDER BY event_us ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS level
+  FROM (SELECT *, ln(v) AS l FROM long WHERE isfinite(v) AND v > 0) WINDOW w AS (PARTITION BY symbol, field ORDER BY event_us)),
+scale AS (
+  SELECT symbol, field, median(l) AS typical, CASE WHEN field = 'adj_factor' THEN 1e-9 ELSE 10 * median(abs(l - b1)) FILTER (WHERE l <> b1) END AS far FROM logs GROUP BY symbol, field),
+spread AS (SELECT symbol, field, median(abs(l - typical)) AS mad FROM logs JOIN scale USING (symbol, field) WHERE field = 'volume' GROUP BY symbol, field),
+spikes AS (
+  SELECT symbol, event_us, field FROM logs JOIN scale USING (symbol, field) WHERE field <> 'volume' AND abs(l - level) > far AND ({_AWAY})
+  UNION ALL
+  SELECT symbol, event_us, field FROM logs JOIN scale USING (symbol, field) JOIN spread USING (symbol, field) WHERE mad > 0 AND abs(l - typical) > 12.5 * mad),
+held AS (
+  SELECT *, row_number() OVER w AS i, v = lag(v) OVER w AS repeats
+  FROM (SELECT * FROM long WHERE v IS NOT NULL AND NOT isnan(v) AND field <> 'adj_factor' AND (field <> 'volume' OR v <> 0)) WINDOW w AS (PARTITION BY symbol, field ORDER BY event_us)),
+runs AS (SELECT *, count(*) OVER (PARTITION BY symbol, field, v, i - r) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol, field, v ORDER BY event_us) AS r FROM held)),
+seldom AS (SELECT symbol, field FROM runs GROUP BY symbol, field HAVING count(*) FILTER (WHERE repeats AND n < 6) < 0.25 * greatest(count(*) FILTER (WHERE n < 6), 1)),
+stuck AS (SELECT symbol, event_us, field FROM runs JOIN seldom USING (symbol, field) WHERE n >= 6 AND repeats)
+"""
+P3_CASES = f"""{P3}, cases AS (
+  SELECT symbol, event_us, field, min(kind) AS kind FROM (
+    SELECT symbol, event_us, field, 1 AS kind FROM long WHERE v < 0 OR isinf(v) OR (v = 0 AND field <> 'volume')
+    UNION ALL SELECT symbol, event_us, field, 2 FROM spikes UNION ALL SELECT symbol, event_us, field, 3 FROM stuck)
+  GROUP BY symbol, event_us, field)"""
+
 SQL: dict[str, str] = {
     "p1_found": P1,
     "p2_found": P2,
+    "p3_report": f"""{P3_CASES}
+SELECT symbol, field, ['limit', 'spike', 'stuck'][kind] AS kind, count(*) AS n, min(event_us) AS first_us, max(event_us) AS last_us FROM cases GROUP BY symbol, field, cases.kind""",
+    "p3_found": f"{P3_CASES} SELECT symbol, event_us, field FROM cases",
     "p4_changes": CHANGES,
     "p4_found": f"SELECT scope, as_of, item, change FROM ({CHANGES})",
     "p5_totals": f"""{P5_TOTALS}
