@@ -213,7 +213,8 @@ def fit(rows: pd.DataFrame, names: list[str], t: Training = Training()) -> dict:
         for s in ls:
             if s in at:
                 y[i, at[s]] = 1
-    docs = [sentences(x) for x in rows["text"]]
+    pool: dict[str, str] = {}  # one copy of each term
+    docs = [[[pool.setdefault(x, x) for x in s] for s in sentences(text)] for text in rows["text"]]
     held = np.arange(len(rows)) % max(2, round(1 / t.held_out)) == 0
     fitted = ~held if len(rows) > 1 else np.ones(len(rows), bool)
     model = {"names": names, "beam": t.beam, "languages": fit_languages(docs, list(rows["lang"]))}
@@ -224,11 +225,14 @@ def fit(rows: pd.DataFrame, names: list[str], t: Training = Training()) -> dict:
     def mixture(mine: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
         return fit_terms([flat[i] for i in np.flatnonzero(mine)], doc[mine], y, t)
 
-    model["terms"] = {"": mixture(use)}
-    for lang in sorted(set(told)):
-        mine = use & (told == lang)
-        if len(np.unique(doc[mine])) >= t.least_of_language:
-            model["terms"][lang] = mixture(mine)
+    model["terms"] = {}
+    common = [(len(np.unique(doc[use & (told == lang)])), lang) for lang in sorted(set(told))]
+    for n, lang in common:
+        if n >= t.least_of_language:
+            model["terms"][lang] = mixture(use & (told == lang))
+    # for the languages without a mixture of their own; if there are none, it stands for sentences of unknown words only
+    covered = model["terms"] and len(model["terms"]) == len(common)
+    model["terms"][""] = model["terms"][max(common)[1]] if covered else mixture(use)
     sources = sorted({s for s in rows["source"] if s})
     source, structure = _inputs(sources, rows, docs)
     x = _features(shares(docs, model), source, structure)
