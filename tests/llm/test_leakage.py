@@ -131,6 +131,8 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert sorted((r.doc_id or 0, r.item_id) for r in found.collect()) == [(0, 1), (0, 2), (1, 1), (1, 1), (1, 2), (1, 2)]
     assert without_leaks(df, found).count() == 1
     assert leaks(df.limit(0), items).count() == 0 and leaks(df, items.limit(0)).count() == 0
+    big = leaks(spark.createDataFrame([(2**60 + 1, t), (None, t)], DOCS).coalesce(1), items.limit(1))
+    assert {r.doc_id for r in big.collect()} == {2**60 + 1, None}
     clash = df.selectExpr("*", "1 AS item_id", "2 AS slips")
     assert leaks(clash, items).count() == 6
 

@@ -78,9 +78,10 @@ def test_tokens(path):
 
 
 def test_measured(spark):
-    docs = spark.createDataFrame([(1, "Crude oil rose. Oil fell.", " Wire ", "EN"), (2, None, None, None), (3, "  ", "wire", ""), (4, "x", "w w", "de")], "doc_id bigint, text string, source string, lang string")
+    docs = spark.createDataFrame([(1, "Crude oil rose. Oil fell.", " Wire ", "EN"), (2, None, None, None), (3, "  ", "wire", ""), (4, "x", "w w", "de"), (2**60 + 1, "x", "w", "de"), (None, "x", "w", "de")], "doc_id bigint, text string, source string, lang string")
     subjects = spark.createDataFrame([("energy",)], "subject string")
     labels = spark.createDataFrame([], "doc_id bigint, subject string")
     got = {r.doc_id: r for r in measured(docs, subjects, labels).collect()}
     assert got[1].source == "wire" and got[1].tokens == counter()(["Crude oil rose. Oil fell."])[0] and got[1].topic == "none" and got[1].lang == "en"
+    assert got[2**60 + 1].tokens == 1 and got[None].tokens == 1
     assert got[2].tokens == 0 and got[2].source is None and got[2].lang == "und" and got[3].tokens == 0 and got[4].source == "w_w"

@@ -208,7 +208,8 @@ def leaks(documents: DataFrame, items: DataFrame, passage: Passage = Passage())
     Work: no exchange but to spread too few files over the cores; whole texts, all documents, a block of items at a
     time.
     """
-    docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
+    # ids travel as texts: pandas would turn a column with nulls into floats
+    docs = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id", "text")
     sc = docs.sparkSession.sparkContext
     found: DataFrame | None = None
     for block in _blocks(items, passage.block_words):
@@ -239,7 +240,7 @@ def leaks(documents: DataFrame, items: DataFrame, passage: Passage = Passage())
             if ids:
                 yield flush()
 
-        part = docs.mapInPandas(run, SCHEMA)
+        part = docs.mapInPandas(run, SCHEMA.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
         found = part if found is None else found.unionByName(part)
     return found
 

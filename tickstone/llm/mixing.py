@@ -46,7 +46,8 @@ def measured(documents: DataFrame, subjects: DataFrame, labels: DataFrame, token
     rows = labelled(documents, labels, training)
     sent = spark.sparkContext.broadcast(fit(rows, names, training) if names and len(rows) else None)
     lang = F.coalesce(F.nullif(F.lower(strip("lang")), F.lit("")), F.lit("und"))
-    docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lang.alias("lang"), norm_source("source").alias("source")), "doc_id")
+    # ids travel as texts: pandas would turn a column with nulls into floats
+    docs = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", lang.alias("lang"), norm_source("source").alias("source")), "doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, sizes = sent.value, counter(tokenizer)
@@ -60,7 +61,7 @@ def measured(documents: DataFrame, subjects: DataFrame, labels: DataFrame, token
                     topic = np.where(label.any(axis=1), np.array(model["names"], object)[top], "none")
                 yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "lang": b["lang"], "topic": topic, "tokens": sizes([None if t is None or not t.strip() else t for t in b["text"]])})
 
-    return docs.mapInPandas(run, SIZED)
+    return docs.mapInPandas(run, SIZED.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def _scaled(size: np.ndarray, weight: np.ndarray, cap: np.ndarray, target: float) -> np.ndarray:

@@ -321,7 +321,8 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, t:
     if not names or not len(rows):
         return spark.createDataFrame([], SCHEMA)
     sent = spark.sparkContext.broadcast(fit(rows, names, t))
-    docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", norm_source("source").alias("source")), "doc_id")
+    # ids travel as texts: pandas would turn a column with nulls into floats
+    docs = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", norm_source("source").alias("source")), "doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
@@ -332,7 +333,7 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, t:
                 d, s = np.nonzero(label)
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[d], "subject": np.array(model["names"], object)[s], "share": share[d, s], "probability": p[d]})
 
-    return docs.mapInPandas(run, SCHEMA)
+    return docs.mapInPandas(run, SCHEMA.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:
