@@ -234,6 +234,12 @@ def holdings_missing_check(spark: SparkSession, d: str) -> DataFrame:
     return missing_next(p).select("event_time", "symbol")
 
 
+def holdings_missing_panel_c(spark: SparkSession, d: str) -> DataFrame:
+    """As ``holdings_missing_check``, with every supplier its own symbol: the whole of panel C."""
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").cast(NTZ).alias("event_time"), F.lit(0.01).alias("target_weight")).distinct()
+    return missing_next(p).select("event_time", "symbol")
+
+
 def replay_diff(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("tick"), F.col("o_orderkey").cast("string").alias("node"), F.col("o_orderstatus").alias("output"))
     return replay_differences(o.where("node % 11 <> 0"), o.where("node % 13 <> 0").withColumn("output", F.when(F.col("node") % 17 == 0, F.lit("x")).otherwise(F.col("output"))))
@@ -292,7 +298,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pit_visible_bars, pit_excluded_count, pit_asof_ticks, bars_daily_ohlcv, bar_to_pit_close, calendar_sessions, business_days, keep_first_dedup, new_keys_antijoin, coverage_stats,
         dup_key_check, features_lag_ret, features_label, features_vol20, feature_frame, split_counts, eval_metrics, train_gbt, topk_equal_weight, limited_weights, limit_decisions,
-        sector_scale, cost_model, sim_session_terms, sim_equity, holdings_missing_check, replay_diff, universe_clean, event_log_parse, recent_outputs, momentum_12_1, equity_drawdown,
+        sector_scale, cost_model, sim_session_terms, sim_equity, holdings_missing_check, holdings_missing_panel_c, replay_diff, universe_clean, event_log_parse, recent_outputs, momentum_12_1, equity_drawdown,
         adv_20, evidence_gate, overnight_gap,
     )
 }
@@ -366,6 +372,9 @@ FROM (SELECT n.*, f.equity AS prior, f.equity * (1 + n.r_over) AS pre, n.a * f.e
 SELECT event_time, round(gross_return, 6) AS gross_return, round(transaction_costs, 6) AS transaction_costs, round(turnover, 6) AS turnover, round(net_return, 6) AS net_return, round(equity, 6) AS equity FROM f WHERE k > 0""",
     "holdings_missing_check": """WITH p AS (SELECT DISTINCT CAST(l_suppkey % 50 AS VARCHAR) AS symbol, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS event_time FROM lineitem),
 t AS (SELECT event_time, lead(event_time) OVER (ORDER BY event_time) AS nxt FROM (SELECT DISTINCT event_time FROM p))
+SELECT t.nxt AS event_time, p.symbol FROM p JOIN t ON t.event_time = p.event_time WHERE t.nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p q WHERE q.symbol = p.symbol AND q.event_time = t.nxt)""",
+    "holdings_missing_panel_c": """WITH p AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS event_time FROM lineitem),
+t AS (SELECT event_time, lead(event_time) OVER (ORDER BY event_time) AS nxt FROM (SELECT DISTINCT event_time FROM p))
 SELECT t.nxt AS event_time, p.symbol FROM p JOIN t ON t.event_time = p.event_time WHERE t.nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p q WHERE q.symbol = p.symbol AND q.event_time = t.nxt)""",
     "replay_diff": """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS tick, CAST(o_orderkey AS VARCHAR) AS node, o_orderkey AS k, o_orderstatus AS output FROM orders)
 SELECT coalesce(a.tick, b.tick) AS tick, coalesce(a.node, b.node) AS node, CASE WHEN b.node IS NULL THEN 'missing' WHEN a.node IS NULL THEN 'unexpected' ELSE 'changed' END AS difference
