@@ -6,7 +6,8 @@ outlier if it is away from what both sides predict while the sides agree; a leve
 Outliers found are taken out and the tests repeated until none is new. Stuck runs and physical limits are told apart.
 
 Series are cut into pieces of bounded length with overlapping neighbours, whatever a source's share of the rows. One pass gives
-partial statistics by piece, which are joined into one row a source; a second pass applies the tests.
+partial statistics by piece, which are joined into one row a source; a second pass applies the tests. Medians are exact: those of
+a series in several pieces lie between two of its pieces' evenly spaced order statistics, and only what is there is counted.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickstone.operators.readings import readings
@@ -27,7 +28,7 @@ FIELDS = ("close", "open", "volume", "adj_factor")
 STUCK_FIELDS = ("close", "open", "volume")
 # kinds of partial statistics
 CHANGE = {"open": 0, "close": 1}
-VOLUME_BINS, VOLUME_MEDIAN, VOLUME_SPREAD = 2, 3, 4
+VOLUME_MEDIAN, VOLUME_SPREAD = 3, 4
 QUADRANTS = {"open": 5, "close": 6}
 STEPS = {"close": 10, "open": 11, "volume": 12}
 REPEATS = {"close": 20, "open": 21, "volume": 22}
@@ -49,7 +50,6 @@ class Limits:
     seldom: float = 0.25
     piece: int = 4096
     overlap: int = 64
-    bins: float = 64.0
 
 
 def _logs(frame: pd.DataFrame, field: str) -> tuple[np.ndarray, np.ndarray]:
@@ -81,14 +81,15 @@ def _statistics(limits: Limits):
             single = frame["total"].to_numpy()[firsts] <= limits.piece
             names = frame["symbol"].to_numpy()[firsts]
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            held: list[tuple[int, int, bytes]] = []
 
-            def binned(kind: int, s: np.ndarray, v: np.ndarray, out=out, single=single) -> None:
-                """The median itself of a series in one piece; else counts by bins of equal width, which can be added up."""
+            def middle_of(kind: int, s: np.ndarray, v: np.ndarray, out=out, held=held, single=single) -> tuple[np.ndarray, np.ndarray]:
+                """The median itself of a series in one piece, which is returned too; else the piece's values in order."""
                 mine = single[s]
                 g, m = segment_median(v[mine], s[mine])
                 out.append((g, np.full(len(g), kind), m, np.bincount(s[mine], minlength=len(single))[g]))
-                pair, n = np.unique(np.stack([s[~mine], np.floor(v[~mine] * limits.bins)]), axis=1, return_counts=True)
-                out.append((pair[0].astype(int), np.full(len(n), kind), (pair[1] + 0.5) / limits.bins, n))
+                held.extend((int(k), kind, np.sort(v[s == k]).tobytes()) for k in np.unique(s[~mine]))
+                return g, m
 
             def summed(kind: int, s: np.ndarray, x: np.ndarray, out=out) -> None:
                 n = np.bincount(s, weights=x)
@@ -100,21 +101,18 @@ def _statistics(limits: Limits):
                 d, s = np.diff(x), seg[at][1:]
                 inside = (s == seg[at][:-1]) & (d != 0)
                 use = inside & core[at][1:]
-                binned(CHANGE[f], s[use], np.log(np.abs(d[use])))
+                middle_of(CHANGE[f], s[use], np.log(np.abs(d[use])))
                 both = use[1:] & inside[:-1] & (s[1:] == s[:-1])
                 agree = np.sign(d[1:]) * np.sign(d[:-1])
                 summed(QUADRANTS[f], s[1:][both], agree[both])
             at, x = _logs(frame, "volume")
             at, x = at[core[at]], x[core[at]]
             s = seg[at]
-            mine = single[s]
-            g, m = segment_median(x[mine], s[mine])
+            g, m = middle_of(VOLUME_MEDIAN, s, x)
             middle = np.zeros(len(single))
             middle[g] = m
-            out.append((g, np.full(len(g), VOLUME_MEDIAN), m, np.ones(len(g))))
-            g, m = segment_median(np.abs(x[mine] - middle[s[mine]]), s[mine])
-            out.append((g, np.full(len(g), VOLUME_SPREAD), m, np.ones(len(g))))
-            binned(VOLUME_BINS, s[~mine], x[~mine])
+            mine = single[s]
+            middle_of(VOLUME_SPREAD, s[mine], np.abs(x[mine] - middle[s[mine]]))
             for f in STUCK_FIELDS:
                 at = _held(frame, f)
                 repeat, length = _runs(frame[f].to_numpy(dtype=float)[at], seg[at])
@@ -122,11 +120,91 @@ def _statistics(limits: Limits):
                 summed(STEPS[f], seg[at][free], np.ones(free.sum()))
                 summed(REPEATS[f], seg[at][free & repeat], np.ones((free & repeat).sum()))
             g, kind, value, n = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pd.DataFrame({"symbol": names[g.astype(int)], "kind": kind.astype("int32"), "value": value, "n": n.astype(float), "total": frame["total"].to_numpy()[firsts][g.astype(int)]})
+            g = np.r_[g.astype(int), np.array([k for k, _, _ in held], int)]
+            rest = np.full(len(held), np.nan)
+            yield pd.DataFrame({
+                "symbol": names[g], "piece": frame["piece"].to_numpy()[firsts][g], "kind": np.r_[kind, [k for _, k, _ in held]].astype("int32"), "value": np.r_[value, rest], "n": np.r_[n, rest].astype(float),
+                "total": frame["total"].to_numpy()[firsts][g], "held": [None] * len(n) + [b for _, _, b in held],
+            })
 
     return run
 
 
+PARTIAL = "symbol string, piece bigint, kind int, value double, n double, total bigint, held binary"
+SPACING = 64
+
+
+def _summed_partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The partial statistics that are numbers. Rows are chosen here, as Spark would move a filter below the exchange and make it again."""
+    for b in batches:
+        yield b[b["held"].isna()][["symbol", "kind", "value", "n", "total"]]
+
+
+def _joined(rows: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    if rows:
+        yield pd.DataFrame({c: np.concatenate([r[c] for r in rows]) for c in rows[0]})
+
+
+def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every ``SPACING``-th of a piece's values in order and its last one, each with the values since the one before."""
+    for b in batches:
+        out = []
+        for r in b[b["held"].notna()].itertuples(index=False):
+            v = np.frombuffer(r.held)
+            last = np.r_[np.arange(SPACING - 1, len(v) - 1, SPACING), len(v) - 1]
+            slack = np.zeros(len(last))
+            slack[0] = SPACING - 1
+            out.append({"symbol": np.full(len(last), r.symbol, object), "kind": np.full(len(last), r.kind, np.int32), "total": np.full(len(last), r.total), "value": v[last], "n": np.diff(np.r_[-1, last]).astype(float), "slack": slack})
+        yield from _joined(out)
+
+
+def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A piece's values above ``lo`` and up to ``hi``, counted, and the number of those up to ``lo``."""
+    for b in batches:
+        out = []
+        for r in b[b["held"].notna()].itertuples(index=False):
+            v = np.frombuffer(r.held)
+            a, z = np.searchsorted(v, [r.lo, r.hi], side="right")
+            x, n = np.unique(v[a:z], return_counts=True)
+            out.append({"symbol": np.full(len(x) + 1, r.symbol, object), "kind": np.full(len(x) + 1, r.kind, np.int32), "value": np.r_[-np.inf, x], "n": np.r_[a, n].astype(float)})
+        yield from _joined(out)
+
+
+def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distances of volumes from the typical one, in order."""
+    for b in batches:
+        b = b[b["held"].notna() & (b["kind"] == VOLUME_MEDIAN)]
+        held = [np.sort(np.abs(np.frombuffer(h) - m)).tobytes() for h, m in zip(b["held"], b["middle"], strict=True)]
+        yield b[["symbol", "piece", "kind", "value", "n", "total"]].assign(kind=np.int32(VOLUME_SPREAD), held=held)
+
+
+def _by_piece(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Each row once for each piece of its series: joined so, no rows of a long series move together."""
+    last = F.floor((F.col("total") - 1) / limits.piece)
+    return rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("total")
+
+
+def _exact_medians(held: DataFrame, limits: Limits) -> DataFrame:
+    """``symbol, kind, value, n, total``: the (lower) median and the number of the values that all pieces of a series hold.
+
+    Of the values up to a point, those counted by the points up to it are known, and each piece has at most ``slack`` more. This
+    gives bounds around the median; the values between them, a share of ``2 * SPACING / Limits.piece`` or so, are counted.
+    """
+    key = ["symbol", "kind"]
+    upto, whole = Window.partitionBy(*key).orderBy("value"), Window.partitionBy(*key)
+    points = held.mapInPandas(_points, "symbol string, kind int, total bigint, value double, n double, slack double")
+    points = points.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("all"), F.sum("slack").over(whole).alias("more"))
+    rank = F.ceil(F.col("all") / 2)
+    bounds = points.groupBy(*key, "total", "all").agg(
+        F.coalesce(F.max(F.when(F.col("upto") + F.col("more") < rank, F.col("value"))), F.lit(float("-inf"))).alias("lo"),
+        F.min(F.when(F.col("upto") >= rank, F.col("value"))).alias("hi"),
+    )
+    inside = held.join(_by_piece(bounds.select(*key, "total", "lo", "hi"), limits), [*key, "piece"]).mapInPandas(_between, "symbol string, kind int, value double, n double")
+    counted = inside.groupBy(*key, "value").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    found = counted.join(bounds.select(*key, "total", "all"), key).where(F.col("upto") >= rank)
+    return found.groupBy(*key, "total", "all").agg(F.min("value").alias("value")).select(*key, "value", F.col("all").alias("n"), "total")
+
+
 STAT_COLUMNS = [f"u_{f}" for f in PRICES] + [f"phi_{f}" for f in PRICES] + ["volume_typical", "volume_spread"] + [f"rare_{f}" for f in STUCK_FIELDS]
 
 
@@ -138,25 +216,20 @@ def _join_statistics(limits: Limits):
             rows = len(firsts)
             out = pd.DataFrame({"symbol": frame["symbol"].to_numpy()[firsts], "total": frame["total"].to_numpy()[firsts]})
 
-            def medians(k: int, v: np.ndarray | None = None, kind=kind, value=value, n=n, seg=seg, rows=rows) -> np.ndarray:
-                use = kind == k
+            def median(k: int, kind=kind, value=value, seg=seg, rows=rows) -> np.ndarray:
                 r = np.full(rows, np.nan)
-                g, m = segment_median((value if v is None else v)[use], seg[use], n[use])
-                r[g] = m
+                r[seg[kind == k]] = value[kind == k]
                 return r
 
             def total(k: int, kind=kind, n=n, seg=seg, rows=rows) -> np.ndarray:
                 return np.bincount(seg[kind == k], weights=n[kind == k], minlength=rows)
 
             for f in PRICES:
-                out[f"u_{f}"] = np.exp(medians(CHANGE[f]))
+                out[f"u_{f}"] = np.exp(median(CHANGE[f]))
                 changes = np.maximum(total(CHANGE[f]), 1)
                 out[f"phi_{f}"] = np.clip(np.sin(np.pi / 2 * np.clip(total(QUADRANTS[f]) / changes, -1, 1)), -0.5, 0.5)
-            typical = medians(VOLUME_BINS)
-            spread = medians(VOLUME_BINS, np.abs(value - np.nan_to_num(typical)[seg]))
-            exact = medians(VOLUME_MEDIAN)
-            out["volume_typical"] = np.where(np.isnan(exact), typical, exact)
-            out["volume_spread"] = np.where(np.isnan(exact), spread, medians(VOLUME_SPREAD)) * limits.spread_scale
+            out["volume_typical"] = median(VOLUME_MEDIAN)
+            out["volume_spread"] = median(VOLUME_SPREAD) * limits.spread_scale
             for f in STUCK_FIELDS:
                 out[f"rare_{f}"] = (total(REPEATS[f]) / np.maximum(total(STEPS[f]), 1) < limits.seldom).astype(float)
             yield out
@@ -234,6 +307,21 @@ def _tests(limits: Limits):
     return run
 
 
+def series_statistics(parts: DataFrame, limits: Limits) -> DataFrame:
+    """One row a series with what the tests need: ``symbol, total`` and ``STAT_COLUMNS``."""
+    by_piece = ["symbol", "piece", "pos"]
+    # every use reads all columns, so that Spark makes each exchange once
+    partial = parts.sortWithinPartitions(*by_piece).mapInPandas(_statistics(limits), PARTIAL).repartition("symbol", "kind", "piece")
+    medians = _exact_medians(partial, limits)
+    typical = _by_piece(medians.where(F.col("kind") == VOLUME_MEDIAN).select("symbol", "kind", F.col("value").alias("middle"), "total"), limits)
+    away = partial.join(typical, ["symbol", "kind", "piece"]).mapInPandas(_distances, PARTIAL).repartition("symbol", "kind", "piece")
+    summed = partial.mapInPandas(_summed_partials, "symbol string, kind int, value double, n double, total bigint")
+    summed = summed.groupBy("symbol", "kind", "value", "total").agg(F.sum("n").alias("n")).select("symbol", "kind", "value", "n", "total")
+    every = summed.unionByName(medians).unionByName(_exact_medians(away, limits))
+    schema = "symbol string, total bigint, " + ", ".join(f"{c} double" for c in STAT_COLUMNS)
+    return every.repartition("symbol").sortWithinPartitions("symbol", "kind", "value").mapInPandas(_join_statistics(limits), schema)
+
+
 def implausible(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``symbol, event_us, field, kind, value``: one row for each implausible value of a reading.
 
@@ -246,13 +334,7 @@ def implausible(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     r = readings(bars, FIELDS).withColumn("pos_us", F.unix_micros("event_time")).drop("event_time")
     parts = pieces(r, "symbol", "day", "pos_us", limits.piece, limits.overlap)
     by_piece = ["symbol", "piece", "pos"]
-    partial = parts.sortWithinPartitions(*by_piece).mapInPandas(_statistics(limits), "symbol string, kind int, value double, n double, total bigint")
-    partial = partial.groupBy("symbol", "kind", "value", "total").agg(F.sum("n").alias("n"))
-    schema = "symbol string, total bigint, " + ", ".join(f"{c} double" for c in STAT_COLUMNS)
-    stats = partial.repartition("symbol").sortWithinPartitions("symbol", "kind", "value").mapInPandas(_join_statistics(limits), schema)
-    # by piece, not by symbol: the join then moves no rows of a long series together
-    last = F.floor((F.col("total") - 1) / limits.piece)
-    stats = stats.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("total")
+    stats = _by_piece(series_statistics(parts, limits), limits)
     # both passes read every column of the pieces, so that Spark makes their exchange once
     tested = parts.join(stats, ["symbol", "piece"]).sortWithinPartitions(*by_piece)
     return tested.mapInPandas(_tests(limits), "symbol string, event_us bigint, field string, kind string, value double")
