@@ -191,7 +191,7 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def train_gbt(spark: SparkSession, d: str) -> DataFrame:
     train, held = _split(spark, d)
-    return metrics(predict(train_baseline(train, iterations=10), held))
+    return metrics(predict(train_baseline(train), held))
 
 
 def topk_equal_weight(spark: SparkSession, d: str) -> DataFrame:
