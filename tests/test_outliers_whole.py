@@ -32,3 +32,11 @@ def test_medians_of_a_long_series_are_exact(spark):
     r = readings(frame(spark, rows), FIELDS).withColumn("pos_us", F.unix_micros("event_time")).drop("event_time")
     cut, whole = (series_statistics(pieces(r, "symbol", "day", "pos_us", x.piece, x.overlap), x).toPandas().sort_values("symbol", ignore_index=True) for x in (CUT, Limits()))
     pd.testing.assert_frame_equal(cut, whole, check_exact=True)
+
+
+def test_a_series_without_statistics_keeps_its_other_cases(spark):
+    adj = [1.0] * 6
+    adj[3] = 37.5
+    got = found(spark, rows_of("Z", [0.0] * 6, [0.0] * 6, adj) + rows_of("N", [None] * 6, [None] * 6, adj))
+    limits = [("Z", i, f, "limit") for i in range(6) for f in ("close", "open")]
+    assert got == sorted([*limits, ("Z", 3, "adj_factor", "spike"), ("N", 3, "adj_factor", "spike")])

@@ -336,7 +336,8 @@ def implausible(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     by_piece = ["symbol", "piece", "pos"]
     stats = _by_piece(series_statistics(parts, limits), limits)
     # both passes read every column of the pieces, so that Spark makes their exchange once
-    tested = parts.join(stats, ["symbol", "piece"]).sortWithinPartitions(*by_piece)
+    # from the left: a series without statistics still has its limit cases and those of adj_factor
+    tested = parts.join(stats, ["symbol", "piece"], "left").sortWithinPartitions(*by_piece)
     return tested.mapInPandas(_tests(limits), "symbol string, event_us bigint, field string, kind string, value double")
 
 
