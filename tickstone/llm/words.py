@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import regex
@@ -19,11 +20,13 @@ BLOCK = (
 )
 _INLINE = regex.compile(rf"</?(?:{INLINE.replace(' ', '|')})(?:\s[^<>]*)?/?>", regex.I)
 _TAG = regex.compile(rf"</?(?:{BLOCK.replace(' ', '|')})(?:\s[^<>]*)?/?>|<!doctype[^<>]*>", regex.I)
+_FOREIGN = re.compile(r"[\u0370-\u052f]")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}\p{Co}\p{Cs}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f︀-️]+")
 _BROKEN = regex.compile(r"(?<=\p{L})-[ \t]*\r?\n[ \t]*(?=\p{Ll})")
-_APOSTROPHE = regex.compile(r"(?<=\w)['‘’ʼ´`](?=\w)")
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-_SPACED = regex.compile(r"\S+")
+_APOSTROPHES = "'‘’ʼ´`"
+_APOSTROPHE = re.compile(rf"(?<=\w)[{_APOSTROPHES}](?=\w)")
+_WORD = re.compile(r"[^\W_]+")  # letters and numbers of any script
+_SPACED = re.compile(r"\S+")
 
 
 def _without_comments(t: str) -> str:
@@ -46,11 +49,12 @@ def plain(text: str) -> str:
     if t.isascii():
         t = t.lower()
     else:
-        t = unicodedata.normalize("NFKD", t)
-        t = _UNSEEN.sub("", t).casefold().translate(LOOK_ALIKE)
+        t = _UNSEEN.sub("", unicodedata.normalize("NFKD", t)).casefold()
+        if _FOREIGN.search(t):
+            t = t.translate(LOOK_ALIKE)
     if "-" in t and "\n" in t:
         t = _BROKEN.sub("", t)
-    return _APOSTROPHE.sub("", t)
+    return _APOSTROPHE.sub("", t) if any(c in t for c in _APOSTROPHES) else t
 
 
 def words(text: str | None) -> list[str]:
@@ -68,5 +72,3 @@ def counted_words(text: str | None) -> tuple[list[str], list[int]]:
             number.append(i)
     place = {n: i for i, n in enumerate(dict.fromkeys(number))}
     return out, [place[n] for n in number]
-
-
