@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tickstone.llm.mixing import _scaled, calibrated, measured, mix_report, mixed_sample, rake, reached
+from tickstone.llm.mixing import Raking, _scaled, calibrated, measured, mix_report, mixed_sample, rake, reached, with_target
 from tickstone.llm.tokens import DEFAULT, counter
 
 SIZED = "doc_id bigint, source string, lang string, topic string, tokens bigint"
@@ -59,6 +59,7 @@ def test_empty_and_odd(spark):
     empty = sized(spark).limit(0)
     r = mix_report(empty, t).collect()
     assert len(r) == 1 and r[0].target_share == 0.6 and r[0].share_of_mix == 0.0 and not r[0].short
+    assert {r.doc_id for r in with_target(spark.createDataFrame([(1, " A"), (2, "b"), (3, None)], "doc_id bigint, source string"), t).collect()} == {1}
     assert mixed_sample(empty, t).count() == 0 and reached(mixed_sample(empty, t)).count() == 0
     assert mix_report(sized(spark), t.limit(0)).count() == 0
     zero = spark.createDataFrame([(1, "a", "en", "x", 0), (2, None, "en", "x", 5)], SIZED)
@@ -66,9 +67,24 @@ def test_empty_and_odd(spark):
 
 
 def test_scaled():
-    assert np.allclose(_scaled(np.array([1.0, 1.0]), np.array([1.0, 3.0]), np.array([2.0, 2.0]), 3.0), [1.0, 2.0])
-    assert np.allclose(_scaled(np.array([1.0]), np.array([1.0]), np.array([2.0]), 9.0), [2.0])
-    assert np.allclose(_scaled(np.array([1.0]), np.array([1.0]), np.array([2.0]), 0.0), [0.0])
+    one = np.array([0, 0])
+    assert np.allclose(_scaled(np.array([1.0, 1.0]), np.array([1.0, 3.0]), np.array([2.0, 2.0]), one, np.array([3.0])), [1.0, 2.0])
+    assert np.allclose(_scaled(np.array([1.0]), np.array([1.0]), np.array([2.0]), one[:1], np.array([9.0])), [2.0])
+    assert np.allclose(_scaled(np.array([1.0]), np.array([1.0]), np.array([2.0]), one[:1], np.array([0.0])), [0.0])
+    two = _scaled(np.array([1.0, 1.0, 4.0, 0.0]), np.array([1.0, 3.0, 1.0, 1.0]), np.array([2.0, 2.0, 5.0, 5.0]), np.array([0, 0, 1, 1]), np.array([3.0, 8.0]))
+    assert np.allclose(two[:3], [1.0, 2.0, 2.0])
+
+
+def test_short_is_told_from_the_raked_weights():
+    cells = pd.DataFrame([("a", "en", "x", 100), ("b", "en", "x", 300), ("c", "de", "y", 600)], columns=["source", "lang", "topic", "tokens"])
+    targets = pd.DataFrame([("a", 0.5, 3), ("b", 0.2, 4), ("c", 0.3, 1), ("gone", 0.0, 1)], columns=["source", "target_share", "max_passes"])
+    assert list(rake(cells, targets)[1].short) == [True, False, False, False]
+    # without a round of raking no weight stands at its cap, though the same passes are too few
+    assert not rake(cells, targets, Raking(rounds=0))[1].short.any()
+    exact = pd.DataFrame([("a", 0.3, 3), ("b", 0.7, 4)], columns=["source", "target_share", "max_passes"])
+    assert not rake(cells.assign(tokens=[100, 900, 5]), exact)[1].short.any()  # just enough is enough
+    report = rake(cells, targets)[1]
+    assert report.rounds.iloc[0] >= 1 and report.moved.iloc[0] <= 1e-9 and 0 <= report.lang_off.iloc[0] <= 1
 
 
 @pytest.mark.parametrize("path", [DEFAULT, DEFAULT.replace("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"), DEFAULT.replace("byte_bpe_50k.tiktoken", "piece_bpe_32k.model")])

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 
-from tickstone.llm.subjects import Training, composition, decode, fit, languages, sentences, subjects_of
+from tickstone.llm.subjects import Growing, Training, _terms, composition, decode, fit, languages, scan, subjects_of
 
 TERMS = {
     "oil": ["crude cargoes", "shale wells", "gas storage", "fuel terminals"],
@@ -63,7 +63,9 @@ def test_two_languages_have_their_own_terms():
     label, share, p = decode(model, rest.reset_index(drop=True))
     want = np.array([[s in both[i][4] for s in sorted(TERMS)] for i in rest.index])
     assert (label == want).mean() > 0.98 and share.min() >= 0 and share.max() <= 1 + 1e-9 and (p <= 1 + 1e-9).all()
-    assert list(languages(sentences(other[0][1])[:1] + sentences(both[0][1])[:1] + [["zzz"]], np.array([0, 1, 2]), model["languages"]))[:2] == ["xx", "en"]
+    s = scan([other[0][1].split(".")[0], both[0][1].split(".")[0]], model["words"])
+    told = languages(s, *_terms(s, model["width"], model["pairs"]), model["languages"])
+    assert [model["languages"][0][i] for i in told] == ["xx", "en"]
 
 
 def test_null_empty_and_long_texts(spark):
@@ -93,5 +95,12 @@ def test_sample_is_bounded(spark):
 
 
 def test_sentences():
-    s = sentences("<p>Oil rose 13.7 percent.</p><p>It fell!</p>\n- one\n- two\n\n \n")
-    assert [x[0] for x in s] == ["oil", "it", "one", "two"] and "rose #" in s[0] and sentences(None) == []
+    number = Growing()
+    s = scan(["<p>Oil rose 13.7 percent.</p><p>It fell!</p>\n- one\n- two\n\n \n", None, "", "(Oil.) Rose 5."], number)
+    name = {i: w for w, i in number.items()}
+    assert [" ".join(name[w] for w in s.word[s.row == r]) for r in range(6)] == ["oil rose # percent", "it fell", "one", "two", "oil", "rose #"]
+    assert list(s.doc) == [0, 0, 0, 0, 3, 3] and list(s.lengths()) == [4, 0, 0, 2]
+    row, term = _terms(s, len(number), np.array([number["oil"] * len(number) + number["rose"]]))
+    assert sorted(term[row == 0]) == [number["oil"], number["rose"], number["#"], number["percent"], len(number)]
+    again = scan(["oil unheard 7"], type(number).__mro__[1](number))
+    assert list(again.word) == [number["oil"], -1, number["#"]]

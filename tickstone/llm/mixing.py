@@ -25,6 +25,7 @@ from tickstone.session import cut
 SIZED = "doc_id bigint, source string, lang string, topic string, tokens bigint"
 CELL = ["source", "lang", "topic"]
 MOST_CELLS = 200_000
+MOST_SOURCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -35,15 +36,17 @@ class Raking:
     tolerance: float = 1e-9
 
 
-def measured(documents: DataFrame, subjects: DataFrame, labels: DataFrame, tokenizer: str = DEFAULT, training: Training = Training()) -> DataFrame:
+def measured(documents: DataFrame, subjects: DataFrame, labels: DataFrame, tokenizer: str = DEFAULT, training: Training = Training(), training_on: DataFrame | None = None) -> DataFrame:
     """``doc_id, source, lang, topic, tokens`` of every document; one pass over the texts.
 
+    The classifier is fitted on the labelled documents of ``training_on`` (by default ``documents``).
+
     ``topic`` is the subject with the largest share by the classifier chain, ``none`` without one. A null or
     blank ``lang`` is ``und``; a null or blank ``source`` stays null. Null and blank texts have no tokens.
     """
     spark = documents.sparkSession
     names = subject_names(subjects)
-    rows = labelled(documents, labels, training)
+    rows = labelled(documents if training_on is None else training_on, labels, training)
     sent = spark.sparkContext.broadcast(fit(rows, names, training) if names and len(rows) else None)
     lang = F.coalesce(F.nullif(F.lower(strip("lang")), F.lit("")), F.lit("und"))
     # ids travel as texts: pandas would turn a column with nulls into floats
@@ -64,63 +67,70 @@ def measured(documents: DataFrame, subjects: DataFrame, labels: DataFrame, token
     return docs.mapInPandas(run, SIZED.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def _scaled(size: np.ndarray, weight: np.ndarray, cap: np.ndarray, target: float) -> np.ndarray:
-    """Weights times one factor, none above its cap, so that ``sum(size * weight)`` meets ``target`` if it can."""
-    if target <= 0:
-        return np.zeros_like(weight)
-    if size @ cap <= target:
-        return cap.copy()
+def _scaled(size: np.ndarray, weight: np.ndarray, cap: np.ndarray, group: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Weights times one factor a group, none above its cap, so that ``sum(size * weight)`` of each group meets its ``target`` if it can.
+
+    ``group`` numbers the group of each cell. A group that cannot meet its target stands at its caps.
+    """
+    n = len(target)
+    full = np.bincount(group, size * cap, minlength=n) <= target
     weight = np.where((size > 0) & (weight <= 0), 1e-12, weight)
-    free = np.ones(len(size), bool)
-    out = weight
-    for _ in range(len(size) + 1):
-        left = target - size[~free] @ cap[~free]
-        base = size[free] @ weight[free]
-        factor = left / base if base > 0 else 0.0
-        over = free & (weight * factor > cap)
-        out = np.where(free, weight * factor, cap)
-        if not over.any():
-            break
-        free &= ~over
-    return np.minimum(out, cap)
+    free = ~full[group] & (target > 0)[group]
+    out = np.where(full[group], cap, 0.0)
+    while free.any():
+        left = target - np.bincount(group, np.where(free, 0.0, size * out), minlength=n)
+        base = np.bincount(group, np.where(free, size * weight, 0.0), minlength=n)
+        factor = np.divide(left, base, out=np.zeros(n), where=base > 0)
+        scaled = weight * factor[group]
+        over = free & (scaled > cap)
+        out = np.where(free, np.minimum(scaled, cap), out)
+        free &= ~over & np.isin(group, group[over])  # only groups with a new cell at its cap are scaled again
+    return out
 
 
 def rake(cells: pd.DataFrame, targets: pd.DataFrame, raking: Raking = Raking()) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Cells with ``weight``, and the sources' report, from cells' ``source, lang, topic, tokens`` and ``mix_targets``.
 
     The total is the size of the cells whose source has a target. Sources are raked to their share of it; languages and topics
-    to their own shares of it, which the mix should keep. No weight exceeds ``max_passes``; a source whose size
-    times its passes is too small is used that often and is marked ``short``. The last step is the sources', so
-    their shares hold exactly where they can be met; languages and topics follow as far as sources and passes allow.
+    to their own shares of it, which the mix should keep. No weight exceeds ``max_passes``. A source is ``short`` if its raked
+    weights stand at their caps and its tokens in the mix are still fewer than its share. The last step is the sources', so
+    their shares hold exactly where they can be met; languages and topics follow as far as sources and passes allow. The
+    report's ``rounds`` is the number of rounds made, ``moved`` the largest relative change of a weight in the last of them, and
+    ``lang_off`` and ``topic_off`` are how far, at most, a language's and a topic's share of the mix is from its goal.
     """
     goal = targets.set_index("source")
     cells = cells[cells["source"].isin(goal.index)].sort_values(CELL).reset_index(drop=True)
     size = cells["tokens"].to_numpy(float)
     total = float(size.sum())
-    passes = cells["source"].map(goal["max_passes"]).to_numpy(float)
-    own = {s: float(size[(cells["source"] == s).to_numpy()].sum()) for s in goal.index}
-    want = {s: float(goal.at[s, "target_share"]) * total for s in goal.index}
-    groups = {c: [np.flatnonzero((cells[c] == v).to_numpy()) for v in cells[c].unique()] for c in CELL}
-    reach = sum(min(want[s], own[s] * float(goal.at[s, "max_passes"])) for s in goal.index)
-    margin = {c: [size[g].sum() / total * reach if total else 0.0 for g in groups[c]] for c in ("topic", "lang")}
-    margin["source"] = [want[cells.at[g[0], "source"]] for g in groups["source"]]
-    weight = np.minimum(np.ones(len(size)), passes)
-    for _ in range(raking.rounds):
-        before = weight.copy()
-        for c in ("topic", "lang", "source"):
-            for g, m in zip(groups[c], margin[c], strict=True):
-                weight[g] = _scaled(size[g], weight[g], passes[g], m)
-        if np.all(np.abs(weight - before) <= raking.tolerance * np.maximum(before, 1e-12)):
+    source = goal.index.get_indexer(cells["source"])
+    most = goal["max_passes"].to_numpy(float)
+    want = goal["target_share"].to_numpy(float) * total
+    own = np.bincount(source, size, minlength=len(goal))
+    cap = most[source]
+    reach = float(np.minimum(want, own * most).sum())
+    code = {c: np.unique(cells[c].astype(str), return_inverse=True)[1] for c in ("topic", "lang")}
+    margin = {c: np.bincount(g, size) / max(total, 1e-300) * reach for c, g in code.items()}
+    steps = [(code[c], margin[c]) for c in ("topic", "lang")] + [(source, want)]
+    weight = np.minimum(np.ones(len(size)), cap)
+    rounds, moved = 0, 0.0
+    while rounds < raking.rounds and len(size):
+        before = weight
+        for g, m in steps:
+            weight = _scaled(size, weight, cap, g, m)
+        rounds += 1
+        moved = float(np.max(np.abs(weight - before) / np.maximum(before, 1e-12)))
+        if moved <= raking.tolerance:
             break
     cells["weight"] = weight
-    used = (cells["tokens"] * cells["weight"]).groupby(cells["source"]).sum()
+    used = np.bincount(source, size * weight, minlength=len(goal))
     mixed = float(used.sum())
-    rows = []
-    for s in goal.index:
-        u = float(used.get(s, 0.0))
-        short = own[s] * float(goal.at[s, "max_passes"]) < want[s]
-        rows.append((s, float(goal.at[s, "target_share"]), int(goal.at[s, "max_passes"]), int(own[s]), u, u / total if total else 0.0, u / mixed if mixed else 0.0, u / own[s] if own[s] else 0.0, short))
-    report = pd.DataFrame(rows, columns=["source", "target_share", "max_passes", "own_tokens", "mix_tokens", "share_of_total", "share_of_mix", "passes", "short"])
+    at_cap = np.bincount(source, (weight < cap) & (size > 0), minlength=len(goal)) == 0
+    off = {c: float(np.max(np.abs(np.bincount(g, size * weight) / mixed - np.bincount(g, size) / total))) if mixed else 0.0 for c, g in code.items()}
+    report = pd.DataFrame({
+        "source": goal.index, "target_share": goal["target_share"].to_numpy(float), "max_passes": goal["max_passes"].to_numpy("int32"), "own_tokens": own.astype("int64"), "mix_tokens": used,
+        "share_of_total": used / total if total else 0.0 * used, "share_of_mix": used / mixed if mixed else 0.0 * used, "passes": np.divide(used, own, out=np.zeros(len(own)), where=own > 0),
+        "short": at_cap & (want - used > 1e-12 * total), "rounds": np.int32(rounds), "moved": moved, "lang_off": off["lang"], "topic_off": off["topic"],
+    })
     return cells, report
 
 
@@ -135,25 +145,31 @@ def _goals(targets: DataFrame) -> pd.DataFrame:
     """Targets by normalised source; a source given twice has its shares added and its most passes."""
     t = targets.select(norm_source("source").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_passes", F.lit(1)).alias("max_passes"))
     t = t.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_passes").alias("max_passes"))
-    return _bounded(t.orderBy("source"), 10_000, "sources with a target")
+    return _bounded(t.orderBy("source"), MOST_SOURCES, "sources with a target")
+
+
+def with_target(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows whose source, once it is spelled alike, has a target: no other takes part in a mix."""
+    goals = rows.sparkSession.createDataFrame([(s,) for s in _goals(targets)["source"]], "__source string")
+    return rows.join(F.broadcast(goals), norm_source("source") == F.col("__source"), "left_semi")
 
 
 def calibrated(sized: DataFrame, targets: DataFrame, raking: Raking = Raking()) -> tuple[pd.DataFrame, pd.DataFrame]:
     """``rake`` of the documents' cells, which are summed where they lie. The driver holds a row a cell."""
-    cells = sized.where("source is not null").groupBy(*CELL).agg(F.sum("tokens").alias("tokens"))
+    cells = with_target(sized, targets).groupBy(*CELL).agg(F.sum("tokens").alias("tokens"))
     return rake(_bounded(cells, MOST_CELLS, "cells of source, language and topic"), _goals(targets), raking)
 
 
 def mix_report(sized: DataFrame, targets: DataFrame, raking: Raking = Raking()) -> DataFrame:
     """One row a source of ``targets``: shares aimed at and reached, passes used, and ``short`` where the passes do not suffice.
 
-    ``share_of_total`` is of the size of all documents with a target, ``share_of_mix`` of the mix. Without
-    documents every share is zero and no source is short.
+    ``share_of_total`` is of the size of all documents with a target, ``share_of_mix`` of the mix; the other columns are those of
+    ``rake``. Without documents every share is zero and no source is short.
     """
     spark = sized.sparkSession
-    kinds = "source string, target_share double, max_passes int, own_tokens bigint, mix_tokens double, share_of_total double, share_of_mix double, passes double, short boolean"
+    kinds = "source string, target_share double, max_passes int, own_tokens bigint, mix_tokens double, share_of_total double, share_of_mix double, passes double, short boolean, rounds int, moved double, lang_off double, topic_off double"
     report = calibrated(sized, targets, raking)[1]
-    return spark.createDataFrame(report.astype({"max_passes": "int32"}) if len(report) else [], kinds)
+    return spark.createDataFrame(report if len(report) else [], kinds)
 
 
 def mixed_sample(sized: DataFrame, targets: DataFrame, raking: Raking = Raking(), seed: int = 17) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickstone.llm.leakage import leaks, without_leaks
-from tickstone.llm.mixing import measured, mix_report, mixed_sample, reached
+from tickstone.llm.mixing import measured, mix_report, mixed_sample, reached, with_target
 from tickstone.llm.subjects import composition, subjects_of
 from tickstone.sources.tables import table
 
@@ -25,7 +25,8 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
-    return measured(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "doc_labels"))
+    documents = table(spark, d, "documents")
+    return measured(with_target(documents, table(spark, d, "mix_targets")), table(spark, d, "subjects"), table(spark, d, "doc_labels"), training_on=documents)
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
