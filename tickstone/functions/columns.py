@@ -31,12 +31,14 @@ def norm_source(c: Column | str) -> Column:
 
 def norm_path(c: Column | str) -> Column:
     """Trimmed, without a leading ``./`` however often it is repeated."""
-    return F.regexp_replace(strip(c), r"^(\./)+", "")
+    p = strip(c)
+    return F.when(F.startswith(p, F.lit("./")), F.regexp_replace(p, r"^(\./)+", "")).otherwise(p)
 
 
 def norm_hash(c: Column | str) -> Column:
     """Trimmed, lower case, without the prefix ``sha256:``."""
-    return F.regexp_replace(F.lower(strip(c)), r"^sha256:", "")
+    h = F.lower(strip(c))
+    return F.when(F.startswith(h, F.lit("sha256:")), F.substring(h, 8, 1 << 30)).otherwise(h)
 
 
 def parse_day(c: Column | str) -> Column:

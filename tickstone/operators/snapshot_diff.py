@@ -13,62 +13,60 @@ from pyspark.sql import functions as F
 from tickstone.functions.columns import day_text, norm_hash, norm_path, norm_symbol, parse_day, strip
 from tickstone.operators.deliveries import standing
 
-PRESENT = "\x00present"
-
-
 def snapshot_diff(cells: DataFrame) -> DataFrame:
     """``scope, as_of, item, change, fields``: one row for each key that differs between consecutive snapshots.
 
-    ``cells``: ``scope, seq, as_of, next_as_of, item, fields``, the last a map of field to value (null or empty: only
-    presence counts); one row a (scope, seq, item). ``as_of`` is the later snapshot; a scope's first one gives no
-    rows. ``fields`` lists the changed fields, for ``changed`` only. A null value is a value like any other.
-    Sums are made before each exchange; both exchanges are by keys that include the item, so no scope is gathered.
+    ``cells``: ``scope, block, seq, as_of, next_as_of, item, field, value``, one row for each field of a key, and one with a null
+    ``field`` that marks its presence; laid out by (scope, block) as ``standing`` leaves them. ``as_of`` is the later snapshot; a
+    scope's first one gives no rows. ``fields`` lists the changed fields, for ``changed`` only. A null value is a value like any other.
+    Sums are made twice: first where the snapshots lie, consecutive ones side by side, which leaves what has changed and the cells at
+    the edges of a block; then, after one exchange by (scope, date, item), over all. No scope is gathered.
     """
-    pairs = F.array(F.struct(F.lit(PRESENT).alias("field"), F.lit(None).cast("string").alias("value")))
-    fields = F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))
-    listed = F.concat(pairs, F.coalesce(fields, F.array().cast("array<struct<field:string,value:string>>")))
     signs = F.array(
         F.struct(F.when(F.col("seq") > 1, F.col("as_of")).alias("at"), F.lit(1).alias("sign")),
         F.struct(F.col("next_as_of").alias("at"), F.lit(-1).alias("sign")),
     )
-    signed = (
-        cells.select("scope", "item", F.explode(F.filter(signs, lambda s: s["at"].isNotNull())).alias("s"), listed.alias("cells"))
-        .select("scope", "item", F.col("s.at").alias("as_of"), F.col("s.sign").alias("sign"), F.explode("cells").alias("c"))
-        .select("scope", "item", "as_of", "c.field", "c.value", "sign")
-    )
-    left = signed.groupBy("scope", "as_of", "item", "field", "value").agg(F.sum("sign").alias("n")).where("n <> 0")
-    marker = F.col("field") == PRESENT
+    signed = cells.select("scope", "block", "item", "field", "value", F.explode(signs).alias("s"))
+    signed = signed.select("scope", "block", F.col("s.at").alias("as_of"), "item", "field", "value", F.col("s.sign").alias("sign")).where("as_of is not null")
+    cell = ["scope", "as_of", "item", "field", "value"]
+    here = signed.groupBy("block", *cell).agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    left = here.repartition("scope", "as_of", "item").groupBy(*cell).agg(F.sum("sign").alias("n")).where("n <> 0")
     rows = left.groupBy("scope", "as_of", "item").agg(
-        F.coalesce(F.sum(F.when(marker, F.col("n"))), F.lit(0)).alias("n"),
-        F.array_sort(F.collect_set(F.when(~marker, F.col("field")))).alias("fields"),
+        F.coalesce(F.sum(F.when(F.col("field").isNull(), F.col("n"))), F.lit(0)).alias("n"),
+        F.array_sort(F.collect_set("field")).alias("fields"),
     )
     change = F.when(F.col("n") > 0, "added").when(F.col("n") < 0, "removed").otherwise("changed")
     none = F.array().cast("array<string>")
-    return rows.select("scope", "as_of", "item", change.alias("change"), F.when(F.col("n") == 0, F.col("fields")).otherwise(none).alias("fields"))
+    return rows.select("scope", day_text("as_of").alias("as_of"), "item", change.alias("change"), F.when(F.col("n") == 0, F.col("fields")).otherwise(none).alias("fields"))
+
+
+PLACE = ["scope", "block", "seq", "as_of", "next_as_of"]
 
 
 def member_cells(snapshots: DataFrame) -> DataFrame:
     """Members of the standing deliveries of ``universe_snapshots``: presence only."""
     s = standing(snapshots, strip("index_name"), parse_day("as_of"), F.col("retrieved_at"), F.col("symbols"))
-    member = F.explode(F.array_distinct(F.transform("items", norm_symbol)))
-    return _dated(s.withColumn("item", member), F.lit(None).cast("map<string,string>"))
+    member = F.explode(F.array_distinct(F.transform("items", norm_symbol))).alias("item")
+    nothing = F.lit(None).cast("string")
+    return s.select(*PLACE, member).where("item is not null").withColumns({"field": nothing, "value": nothing})
 
 
 def file_cells(manifests: DataFrame) -> DataFrame:
     """Files of the standing deliveries of ``snapshot_manifests`` with the field ``sha256``.
 
-    A path given in two spellings counts once, with the greatest of its hashes.
+    A path given in two spellings counts once, with the greatest of its hashes; blank paths are left out.
     """
     s = standing(manifests, strip("store_name"), parse_day("universe_as_of"), F.col("published_at"), F.col("curated_files_sha256"))
     entries = F.transform("items", lambda e: F.struct(norm_path(e["key"]).alias("key"), norm_hash(e["value"]).alias("value")))
     s = s.withColumn("items", F.array_sort(entries))
-    once = F.filter("items", lambda e, i: F.coalesce(F.get(F.col("items"), i + 1)["key"] != e["key"], F.lit(True)))
-    s = s.withColumn("items", once).withColumn("e", F.explode("items")).withColumn("item", F.col("e.key"))
-    return _dated(s, F.create_map(F.lit("sha256"), F.col("e.value")))
+    once = F.filter("items", lambda e, i: F.coalesce(F.get(F.col("items"), i + 1)["key"] != e["key"], F.lit(True)) & (e["key"] != ""))
+    nothing = F.lit(None).cast("string")
 
+    def cells(e: Column) -> Column:
+        there = F.struct(e["key"].alias("item"), nothing.alias("field"), nothing.alias("value"))
+        return F.array(there, F.struct(e["key"].alias("item"), F.lit("sha256").alias("field"), e["value"].alias("value")))
 
-def _dated(s: DataFrame, fields: Column) -> DataFrame:
-    return s.where("item is not null and item <> ''").select("scope", "seq", day_text("as_of").alias("as_of"), day_text("next_as_of").alias("next_as_of"), "item", fields.alias("fields"))
+    return s.select(*PLACE, F.inline(F.flatten(F.transform(once, cells))))
 
 
 def delivery_changes(snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
