@@ -5,6 +5,7 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pytest
 from helpers import NAN, at, bar, frame, session_frame, tuples
 
 from pyspark.sql import functions as F
@@ -58,12 +59,12 @@ def test_grid_marks_gaps_and_meets_endpoints(spark):
 def test_grid_value_is_regression_plus_bridge(spark):
     rng = np.random.default_rng(3)
     sessions = [r.session_date for r in session_frame(spark, n=60).orderBy("session_date").collect()]
-    t = np.arange(60)
-    y = 50 + 0.1 * t + 2 * np.sin(2 * math.pi * t / 5) + rng.normal(0, 0.1, 60)
+    t = np.array([(d - sessions[0]).days for d in sessions])
+    y = 50 + 0.1 * t + 2 * np.sin(2 * math.pi * t / 7) + rng.normal(0, 0.1, 60)
     missing = {7, 8, 20, 33, 34, 35}
     rows = [bar("A", str(d), float(v)) for i, (d, v) in enumerate(zip(sessions, y, strict=True)) if i not in missing]
     got = _grid(spark, rows, n=60)
-    cols = [np.ones(60), t / 251.0]
+    cols = [np.ones(60), t / 365.25]
     for p, n in SEASONS:
         for k in range(1, n + 1):
             cols += [np.sin(2 * math.pi * k * t / p), np.cos(2 * math.pi * k * t / p)]
@@ -72,7 +73,7 @@ def test_grid_value_is_regression_plus_bridge(spark):
     a = x[seen].T @ x[seen]
     a[np.arange(1, x.shape[1]), np.arange(1, x.shape[1])] += 1e-6 * seen.sum() + 1e-12
     fitted = x @ np.linalg.solve(a, x[seen].T @ y[seen])
-    res = np.interp(t, t[seen], (y - fitted)[seen])
+    res = np.interp(np.arange(60), np.flatnonzero(seen), (y - fitted)[seen])
     for i in missing:
         assert abs(got["A", str(sessions[i])].value - (fitted + res)[i]) < 1e-6
         assert abs(got["A", str(sessions[i])].value - y[i]) < 0.7
@@ -138,6 +139,29 @@ def test_rolling_against_brute_force(spark):
             assert (r[f"close_avg_{n}"] is None) == (mean is None) and (mean is None or abs(mean - r[f"close_avg_{n}"]) < 1e-9)
 
 
+@pytest.mark.parametrize("odd", [1e19, 1e300, 1.7e308])
+def test_one_huge_value_leaves_with_its_window(spark, odd):
+    days = [date(2025, 1, 2) + timedelta(days=i) for i in range(110)]
+    rows = [bar("A", at(str(d), 20), odd if i == 20 else 2.5, odd if i in (20, 21) else 100.0) for i, d in enumerate(days)]
+    got = {(date.fromisoformat(r.activity_day) - days[0]).days: r for r in rolling_totals(frame(spark, rows)).collect()}
+    for i in (10, 60, 100):
+        assert got[i].volume_7 == 700.0 and got[i].volume_30 == min(i + 1, 30) * 100.0 and got[i].close_avg_7 == 2.5 and got[i].close_sum_30 == min(i + 1, 30) * 2.5
+    assert got[28].volume_7 == 700.0 and got[27].volume_7 == pytest.approx(odd) and got[51].volume_30 == 3000.0 and got[50].volume_30 == pytest.approx(odd)
+    marks = {(r.activity_day, r.mark) for r in activity_marks(rolling_totals(frame(spark, rows))).collect()}
+    assert (str(days[60]), "surge") not in marks and (str(days[29]), "surge") not in marks
+
+
+def test_a_holiday_shifts_no_weekday(spark):
+    sessions = [r.session_date for r in session_frame(spark, n=120).orderBy("session_date").collect()]
+    shut = sessions[30]
+    axis = session_frame(spark, n=120).where(F.col("session_date") != F.lit(shut))
+    value = {d: 100.0 + 3.0 * d.weekday() for d in sessions if d != shut}
+    left_out = {sessions[i] for i in (20, 45, 46, 47, 71, 99)}
+    got = regular_grid(frame(spark, [bar("A", str(d), v) for d, v in value.items() if d not in left_out]), axis).where("filled").collect()
+    assert {r.session_date for r in got} == {str(d) for d in left_out}
+    assert all(abs(r.fitted - value[date.fromisoformat(r.session_date)]) < 0.05 for r in got)
+
+
 def test_marks(spark):
     rows = [bar("A", "2025-01-02", volume=100.0), bar("A", "2025-03-02", volume=100.0), bar("B", "2025-01-02", volume=0.0)]
     marks = tuples(activity_marks(rolling_totals(frame(spark, rows))))

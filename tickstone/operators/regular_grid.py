@@ -19,14 +19,15 @@ from tickstone.functions.columns import day_text, usable
 from tickstone.operators.readings import readings
 from tickstone.session import small
 
-#: (period in grid steps, number of harmonics): the trading week and the trading year
-SEASONS = ((5.0, 2), (251.0, 1))
+#: (period in calendar days, number of harmonics): the week, whose five trading days two harmonics tell apart, and the year
+YEAR = 365.25
+SEASONS = ((7.0, 2), (YEAR, 1))
 MAX_GRID = 100_000
 
 
-def basis(step: Column, seasons: Sequence[tuple[float, int]] = SEASONS, scale: float = 251.0) -> list[Column]:
-    """Constant, trend, and sine and cosine of each harmonic at a grid position."""
-    t = step.cast("double")
+def basis(days: Column, seasons: Sequence[tuple[float, int]] = SEASONS, scale: float = YEAR) -> list[Column]:
+    """Constant, trend, and sine and cosine of each harmonic at a number of calendar days: a holiday shifts no weekday."""
+    t = days.cast("double")
     out = [F.lit(1.0), t / F.lit(scale)]
     for period, n in seasons:
         for k in range(1, n + 1):
@@ -79,13 +80,14 @@ def fit(points: DataFrame, key: str, y: str, xs: Sequence[Column], keep: Sequenc
 
 
 def session_axis(sessions: DataFrame) -> DataFrame:
-    """``day, step``: sessions numbered from 0. A calendar is small: its window runs in one task."""
+    """``day, step, t``: sessions numbered from 0, and the days since the first one. A calendar is small: its window runs in one task."""
     days = sessions.select(F.col("session_date").cast("date").alias("day")).where("day is not null").distinct()
-    return days.withColumn("step", F.row_number().over(Window.orderBy("day")) - 1)
+    order = Window.orderBy("day")
+    return days.withColumns({"step": F.row_number().over(order) - 1, "t": F.datediff("day", F.first("day").over(order))})
 
 
 def session_values(bars: DataFrame, axis: DataFrame, field: str = "close") -> DataFrame:
-    """Rows ``symbol, step, value, n``: the last usable reading of each session and the count of usable ones."""
+    """Rows ``symbol, day, step, t, value, n``: the last usable reading of each session and the count of usable ones."""
     r = readings(bars, [field]).where(usable(field))
     per_day = r.groupBy("symbol", "day").agg(F.max_by(field, "event_time").alias("value"), F.count("*").alias("n"))
     return per_day.join(axis, "day")
@@ -103,21 +105,22 @@ def regular_grid(bars: DataFrame, sessions: DataFrame, field: str = "close") ->
     """
     axis = small(session_axis(sessions), MAX_GRID)
     points = session_values(bars, axis, field)
-    fitted_keys = fit(points, "symbol", "value", basis(F.col("step")), ["step", "value", "n"])
+    fitted_keys = fit(points, "symbol", "value", basis(F.col("t")), ["step", "t", "value", "n"])
 
-    def model(step: Column) -> Column:
-        return sum((F.get(F.col("beta"), F.lit(i)) * c for i, c in enumerate(basis(step))), F.lit(0.0))
+    def model(t: Column) -> Column:
+        return sum((F.get(F.col("beta"), F.lit(i)) * c for i, c in enumerate(basis(t))), F.lit(0.0))
 
     pairs = fitted_keys.select("symbol", "beta", "points", F.posexplode("points").alias("__i", "here"))
     pairs = pairs.select("symbol", "beta", "here", F.get("points", F.col("__i") + 1).alias("next"))
     first, last = F.col("here.step"), F.coalesce(F.col("next.step") - 1, F.col("here.step"))
-    at = pairs.withColumns({"res": F.col("here.value") - model(first), "next_res": F.col("next.value") - model(F.col("next.step"))}).withColumn("at", F.explode(F.sequence(first, last)))
+    residuals = {"res": F.col("here.value") - model(F.col("here.t")), "next_res": F.col("next.value") - model(F.col("next.t"))}
+    at = pairs.withColumns(residuals).withColumn("at", F.explode(F.sequence(first, last)))
     own = F.col("at") == first
     share = F.try_divide((F.col("at") - first).cast("double"), (F.col("next.step") - first).cast("double"))
     bridge = F.col("res") * (F.lit(1.0) - share) + F.col("next_res") * share
-    out = at.withColumn("fitted", model(F.col("at")))
-    dates = axis.select(F.col("step").alias("at"), F.col("day").alias("session_day"))
-    return out.join(dates, "at").select(
+    dates = axis.select(F.col("step").alias("at"), F.col("day").alias("session_day"), F.col("t").alias("at_t"))
+    out = at.join(dates, "at").withColumn("fitted", model(F.col("at_t")))
+    return out.select(
         "symbol",
         day_text("session_day").alias("session_date"),
         F.when(own, F.col("here.value")).otherwise(F.col("fitted") + bridge).alias("value"),
