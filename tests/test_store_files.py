@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import time
 from datetime import UTC, date, datetime, timedelta
 
 import pytest
@@ -15,6 +17,7 @@ from tickstone.sources.calendar import holidays, sessions, short_sessions, weekd
 from tickstone.sources.dataset import build_dataset
 from tickstone.sources.files import CsvBars, file_hashes, holdings, publish, raw_bars, synthetic_bars, universe_members, write_card, write_csv, write_universe
 from tickstone.sources.pit_store import PitStore, aware
+from tickstone.sources.storage import Lease, LeaseLost, Storage
 
 NOW = datetime(2025, 2, 1, tzinfo=UTC)
 
@@ -31,6 +34,62 @@ def test_write_is_idempotent_and_first_wins(spark, tmp_path):
     assert store.write(frame(spark, [])) == 0
 
 
+def test_a_store_behind_a_uri(spark, tmp_path):
+    root = f"file:{tmp_path}/deep/s"
+    store = PitStore(spark, root)
+    assert store.read(NOW).count() == 0 and store.write(frame(spark, [bar("A", "2025-01-02", 1.0)])) == 1
+    assert store.write(frame(spark, [bar("A", "2025-01-02", 2.0)])) == 0 and store.write(frame(spark, [bar("A", "2025-01-03", 2.0)])) == 1
+    assert tuples(PitStore(spark, f"{tmp_path}/deep/s").read(NOW), "close") == [(1.0,), (2.0,)] and store.coverage().first().rows == 2
+    from tickstone.plans.reports import store_payload
+
+    path = store_payload(spark.range(3), f"file:{tmp_path}/p")
+    assert store_payload(spark.range(3), f"file:{tmp_path}/p") == path and Storage(spark).exists(f"{path}/_SUCCESS")
+
+
+def test_writers_take_turns(spark, tmp_path):
+    storage, folder = Storage(spark), f"file:{tmp_path}/x.lease"
+    order = []
+
+    def writer(k):
+        with Lease(storage, folder).taken(pause=0.01):
+            order.append((k, "in"))
+            time.sleep(0.05)
+            order.append((k, "out"))
+
+    threads = [threading.Thread(target=writer, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(order) == 8 and all(a[0] == b[0] and (a[1], b[1]) == ("in", "out") for a, b in zip(order[::2], order[1::2], strict=True))
+    # a dead writer's turn ends; a holder that was taken over is told
+    assert storage.create(f"{folder}/{99:012}", json.dumps({"owner": "dead", "until": time.time() - 1}).encode())
+    with pytest.raises(LeaseLost):
+        with Lease(storage, folder).taken() as lease:
+            assert lease.turn == 100 and lease.held()
+            assert storage.create(f"{folder}/{101:012}", json.dumps({"owner": "other", "until": time.time() + 60}).encode())
+    with pytest.raises(TimeoutError):
+        with Lease(storage, folder).taken(wait=0.1, pause=0.01):
+            pass
+    slow = Lease(storage, f"{tmp_path}/y.lease", lifetime=0.3)
+    with slow.taken():
+        time.sleep(0.6)  # renewed meanwhile
+        assert not slow._last()[1] and slow.held()
+
+
+def test_files_are_whole_on_any_storage(spark, tmp_path):
+    s, f = Storage(spark), f"file:{tmp_path}/a b/c.txt"
+    s.write(f, b"one")
+    s.write(f, b"two\x00")
+    assert s.read(f) == b"two\x00" and s.names(f"{tmp_path}/a b") == ["c.txt"] and s.names(f"{tmp_path}/none") == []
+    assert not s.create(f, b"three") and s.create(f + "2", b"three") and s.read(f"{tmp_path}/a b/c.txt2") == b"three"
+    s.copy(f, f"{tmp_path}/d/e.txt")
+    assert s.sha256(f"{tmp_path}/d/e.txt") == hashlib.sha256(b"two\x00").hexdigest() and s.names(f"{tmp_path}/d") == ["e.txt"]
+    s.delete(f)
+    assert not s.exists(f) and s.any(f"file:{tmp_path}/*/e.txt") and not s.any(f"{tmp_path}/*/none")
+    assert s.inside(f"file:{tmp_path}", f"file:{tmp_path}/d/e.txt") == "d/e.txt"
+
+
 def test_read_filters(spark, tmp_path):
     store = PitStore(spark, str(tmp_path / "s"))
     store.write(frame(spark, [bar("A", "2025-01-02"), bar("B", "2025-01-03"), bar("A", "2025-01-06")]))
@@ -137,6 +196,7 @@ def test_dataset(spark, tmp_path):
     first, again = build_dataset(*args), build_dataset(*args)
     assert (first.inserted, first.absent, again.inserted) == (4, ["C"], 0) and first.snapshot_id == again.snapshot_id
     body = json.loads((tmp_path / "out/snapshots" / first.snapshot_id / "manifest.json").read_text())
+    assert body["source"] == "" and set(body["coverage"]) == {"rows", "symbols", "first_event_time", "last_event_time"} and body["coverage"]["last_event_time"] == "2025-01-06T21:00:00Z"
     assert body["coverage"]["rows"] == 4 and body["coverage"]["symbols"] == 2 and set(body["source_bar_file_sha256"]) == {"A", "B"}
     assert PitStore(spark, str(tmp_path / "out/snapshots" / first.snapshot_id / "bars")).read(NOW).count() == 4
     with pytest.raises(ValueError):

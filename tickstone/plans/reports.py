@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickstone.plans.flow import frame_digest
+from tickstone.sources.storage import Storage
 
 REGISTRY = "run_id string, at timestamp, name string, params map<string,string>, metrics map<string,double>"
 
@@ -16,7 +16,7 @@ REGISTRY = "run_id string, at timestamp, name string, params map<string,string>,
 def store_payload(df: DataFrame, root: str) -> str:
     """Write ``df`` as Parquet under its digest, unless it is there; returns the path. Equal rows share one path."""
     path = f"{root.rstrip('/')}/{frame_digest(df)}"
-    if not (Path(path) / "_SUCCESS").exists():
+    if not Storage(df.sparkSession).exists(f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return path
 

@@ -6,7 +6,6 @@ import hashlib
 import json
 import math
 import random
-import shutil
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date, datetime
 from pathlib import Path
@@ -20,6 +19,7 @@ from tickstone.schemas import CSV_BAR, RAW_BAR, UNIVERSE, struct
 from tickstone.sources.atomic import write_text
 from tickstone.sources.calendar import weekdays
 from tickstone.sources.pit_store import aware
+from tickstone.sources.storage import Storage
 
 
 class BarSource(Protocol):
@@ -55,9 +55,10 @@ def raw_bars(spark: SparkSession, folder: str, symbols: Sequence[str], start: da
 
     ``start <= ts < end`` in UTC dates, written on ``ts`` itself so that the scan can skip row groups; by ts.
     """
-    there = [s for s in symbols if (Path(folder) / f"{s}.parquet").exists()]
-    absent = [s for s in symbols if s not in set(there)]
-    paths = [str(Path(folder) / f"{s}.parquet") for s in there]
+    named = set(Storage(spark).names(folder))
+    there = [s for s in symbols if f"{s}.parquet" in named]
+    absent = [s for s in symbols if f"{s}.parquet" not in named]
+    paths = [f"{folder.rstrip('/')}/{s}.parquet" for s in there]
     df = spark.read.schema(struct(RAW_BAR)).parquet(*paths) if paths else spark.createDataFrame([], struct(RAW_BAR))
     if start is not None:
         df = df.where(F.col("ts") >= F.lit(f"{start.isoformat()} 00:00:00+00:00").cast("timestamp"))
@@ -123,25 +124,24 @@ def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def publish(root: Path, files: Mapping[str, Path], manifest: Mapping[str, Any], hashes: Mapping[str, str]) -> str:
+def publish(root: Path | str, files: Mapping[str, Path | str], manifest: Mapping[str, Any], hashes: Mapping[str, str], spark: SparkSession | None = None) -> str:
     """Publish a snapshot named by the hash of its manifest; returns the name.
 
-    The files are copied under ``root/snapshots/<name>`` and checked against ``hashes``; a file that is there with other content is an
-    error. The manifest is written, then the pointer ``current.json``, so a reader sees the old or the new one.
+    The files are copied under ``root/snapshots/<name>``, each as a whole or not at all, and checked against ``hashes``; a file that is
+    there with other content is an error. The manifest is written, then the pointer ``current.json``, so a reader sees the old or
+    the new one. All paths may lie on any storage.
     """
-    text = canonical(dict(manifest))
+    storage, text = Storage(spark), canonical(dict(manifest))
     name = hashlib.sha256(text.encode()).hexdigest()
-    target = root / "snapshots" / name
+    target = f"{root}/snapshots/{name}"
     for rel, source in files.items():
-        to = target / rel
-        if not to.exists():
-            to.parent.mkdir(parents=True, exist_ok=True)
-            shutil.copyfile(source, to)
-        with to.open("rb") as f:
-            if hashlib.file_digest(f, "sha256").hexdigest() != hashes[rel]:
-                raise ValueError(f"snapshot file {rel} has other content")
-    write_text(target / "manifest.json", text)
-    write_text(root / "current.json", json.dumps({"snapshot_id": name}))
+        to = f"{target}/{rel}"
+        if not storage.exists(to):
+            storage.copy(source, to)
+        if storage.sha256(to) != hashes[rel]:
+            raise ValueError(f"snapshot file {rel} has other content")
+    storage.write(f"{target}/manifest.json", text.encode())
+    storage.write(f"{root}/current.json", json.dumps({"snapshot_id": name}).encode())
     return name
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickstone.schemas import PIT_BAR, columns, struct
-from tickstone.sources.atomic import exclusive
+from tickstone.sources.storage import Lease, Storage
 
 KEY = ["symbol", "event_time"]
 MONTH = ["year", "month"]
@@ -58,14 +57,15 @@ def month_range(start: datetime | None, end: datetime | None) -> Column | None:
 
 
 class PitStore:
-    """Bars under ``root/year=YYYY/month=MM``. One writer at a time, by a lock file beside the store."""
+    """Bars under ``root/year=YYYY/month=MM`` on any storage that Spark reaches. One writer at a time, by a lease beside the store."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.storage = Storage(spark)
         self._schema = struct(PIT_BAR + ", year int, month int")
 
     def _stored(self) -> DataFrame:
-        if not any(Path(self.root).glob("year=*/month=*/*.parquet")):
+        if not self.storage.any(f"{self.root}/year=*/month=*/*.parquet"):
             return self.spark.createDataFrame([], self._schema)
         return self.spark.read.schema(self._schema).parquet(self.root)
 
@@ -81,7 +81,7 @@ class PitStore:
         if rows.where("available_at < event_time or available_at is null or event_time is null or symbol is null").limit(1).count():
             raise ValueError("every bar needs a symbol, and an available_at at or after its event_time")
         rows = rows.withColumns({"year": F.year("event_time"), "month": F.month("event_time")})
-        with exclusive(Path(f"{self.root}.lock")):
+        with Lease(self.storage, f"{self.root}.lease").taken():
             months = [(r.year, r.month) for r in rows.select(*MONTH).distinct().collect()]
             if not months:
                 return 0
