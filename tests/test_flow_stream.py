@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from helpers import bar, frame, tuples
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickstone.operators.features import add_features
-from tickstone.plans.clock import LiveClock, SimClock, Tick
-from tickstone.plans.flow import Flow, FlowBuilder, Inputs, Message, Missing, Node, Policy, ReplayMismatch, events, frame_digest, recorded_outputs
+from tickstone.plans.clock import Clock, Tick, Timeline
+from tickstone.plans.flow import Flow, FlowBuilder, Inputs, Message, Missing, Node, Policy, ReplayMismatch, digest, encoded, events, frame_digest, recorded_outputs
 from tickstone.sources.pit_store import PitStore
 from tickstone.streaming.ingest import append_stream, bar_stream, live_features
 
@@ -86,18 +86,34 @@ def test_ten_ticks_and_replay(spark, tmp_path):
 
 
 def test_clocks():
-    c = SimClock(ticks(2))
-    assert [t.id for t in c] == [t.id for t in ticks(2)]
-    with pytest.raises(StopIteration):
-        c.advance()
+    line = Timeline(ticks(2))
+    assert [c.tick() for c in line] == ticks(2) == [c.at for c in line] and len(line) == 2
+    assert len(Timeline([ticks(1)[0]] * 2)) == 2  # ticks may share a time
     for bad in ([], ticks(2)[::-1]):
         with pytest.raises(ValueError):
-            SimClock(bad)
+            Timeline(bad)
     with pytest.raises(ValueError):
         Tick("x", datetime(2026, 1, 1))
     with pytest.raises(ValueError):
         Tick("x", datetime(2026, 1, 1, tzinfo=UTC), "noon")
-    assert LiveClock(ticks(1)[0]).now() == ticks(1)[0].at
+    with pytest.raises(AttributeError):
+        Clock(ticks(1)[0]).at = ticks(2)[1]  # nothing moves a clock
+    assert Clock(ticks(1)[0]).now() == ticks(1)[0].at
+
+
+def test_digests_of_values(spark):
+    a = {"b": (1, 2.5, None), "a": {"x", "y"}, "d": datetime(2026, 1, 1, tzinfo=UTC), "t": ticks(1)[0]}
+    b = {"t": ticks(1)[0], "d": datetime(2026, 1, 1, tzinfo=UTC), "a": {"y", "x"}, "b": [1, 2.5, None]}
+    assert digest(a) == digest(b) != digest(a | {"b": (2, 1)})
+    assert encoded({"k": (True, "s")}) == {"k": [True, "s"]} and encoded(date(2026, 1, 2)) == "2026-01-02"
+    assert digest(Number(ticks(1)[0], "n", 1)) != digest(Number(ticks(1)[0], "n", 2))
+    assert digest(Rows(ticks(1)[0], "n", spark.range(5))) == digest(Rows(ticks(1)[0], "n", spark.range(5).repartition(3)))
+
+    class Other:
+        pass
+
+    encoded.register(Other, lambda v: "other")
+    assert encoded([Other()]) == ["other"]
 
 
 def test_graph_checks():
@@ -191,7 +207,7 @@ def test_wrong_messages(tmp_path):
         with pytest.raises(ExceptionGroup):
             Flow([n]).run(ticks(1)[0], "r", tmp_path / "l")
     with pytest.raises(ValueError):
-        Flow([Source()]).run(ticks(2)[1], "r", tmp_path / "l", SimClock(ticks(1)))
+        Flow([Source()]).run(ticks(2)[1], "r", tmp_path / "l", Clock(ticks(1)[0]))
     with pytest.raises(TypeError):
         Inputs({Number: Double(ticks(1)[0], "x", 1)})[Number]
 

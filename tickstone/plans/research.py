@@ -75,7 +75,7 @@ class _Trees:
     def __init__(self, fitted: Any):
         self.fitted = fitted
 
-    def __repr__(self) -> str:
+    def digest_value(self) -> str:
         return self.fitted.toDebugString.split("\n", 1)[-1]
 
 
