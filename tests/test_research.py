@@ -67,8 +67,9 @@ def test_top_equal(spark):
     for bad in ([(1, "a", 1.0), (1, "A ", -1.0)], [(1, " ", 0.0)]):
         df = spark.createDataFrame(bad, "tick int, symbol string, score double")
         assert faulty_symbols(df, "tick").count() == 1
-        with pytest.raises(ValueError):
-            top_equal(df)
+        with pytest.raises(Exception, match="duplicate symbol|blank symbol"):
+            top_equal(df).collect()
+        assert top_equal(df, check=False).count() <= 1
     with pytest.raises(ValueError):
         top_equal(s, 0)
 
@@ -101,6 +102,28 @@ def test_limits_liquidity_sector_gross(spark):
         Limits(max_name_weight=1.5)
 
 
+@pytest.mark.parametrize("bad, what", [([("A", 0.1), ("a ", 0.1)], "duplicate"), ([(" ", 0.1)], "blank"), ([(None, 0.1)], "blank"), ([("A", NAN)], "not finite"), ([("A", float("inf"))], "not finite"), ([("A", float("-inf"))], "not finite"), ([("A", None)], "not finite")])
+def test_limits_refuse_bad_weights(spark, bad, what):
+    rows = [(1, "B", 0.01, None, None, None), *((1, s, w, None, None, None) for s, w in bad)]
+    df = limited(spark.createDataFrame(rows, WEIGHTS))  # nothing runs yet
+    with pytest.raises(Exception, match=what):
+        df.collect()
+    with pytest.raises(Exception, match=what):
+        decision(df).collect()
+
+
+def test_a_hot_tick_is_ranked_and_limited_in_parts(spark):
+    rows = [(1, f"S{i:05}", (i * 7919 % 10_007) / 10_007, "X" if i % 3 else None) for i in range(6000)] + [(None, "N", 0.5, None)]
+    df = spark.createDataFrame(rows, "tick int, symbol string, score double, sector string")
+    want = sorted((r for r in rows if r[0]), key=lambda r: (-r[2], r[1]))[:25]
+    got = top_equal(df, 25).orderBy("rank").collect()
+    assert [r.symbol for r in got if r.tick] == [r[1] for r in want] and all(abs(r.weight - 1 / 25) < 1e-15 for r in got if r.tick)
+    assert [(r.symbol, r.weight) for r in got if r.tick is None] == [("N", 1.0)]
+    out = limited(df.withColumnRenamed("score", "weight"), sector="sector")
+    total = {r.tick: r.t for r in out.groupBy("tick").agg(F.sum("limited").alias("t")).collect()}
+    assert out.count() == 6001 and abs(total[1] - 0.6) < 1e-9 and abs(total[None] - 0.05) < 1e-12
+
+
 def _panel(spark, rows):
     return spark.createDataFrame(rows, PANEL)
 

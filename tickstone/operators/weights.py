@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickstone.functions.columns import finite, norm_symbol
+from tickstone.operators.hot import first_of, with_totals
 
 DUST = 1e-12
 
@@ -21,25 +22,32 @@ def faulty_symbols(rows: DataFrame, tick: str, symbol: str = "symbol") -> DataFr
     return blank.unionByName(twice)
 
 
-def refuse(faults: DataFrame) -> None:
-    """Raise on the first fault, if there is one."""
-    first = faults.limit(1).collect()
-    if first:
-        raise ValueError(", ".join(f"{k}={v}" for k, v in first[0].asDict().items()))
+def _checked(rows: DataFrame, tick: str, value: str, what: str) -> DataFrame:
+    """``rows`` with ``symbol`` spelled alike; using ``value`` raises where a symbol is blank or repeated in its tick.
+
+    The check is part of the plan: nothing runs before the result is asked for. One exchange, by (tick, symbol).
+    """
+    named = rows.withColumn("symbol", norm_symbol("symbol"))
+    n = F.count("*").over(Window.partitionBy(tick, "symbol"))
+    at = F.concat(F.coalesce(F.col(tick).cast("string"), F.lit("null")), F.lit(" "), F.coalesce("symbol", F.lit("")))
+    fault = F.when(F.col("symbol").isNull(), F.lit("blank symbol")).when(F.col("__n") > 1, F.lit("duplicate symbol"))
+    raised = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.lit(f" in the {what} of "), at)).cast("double")).otherwise(F.col(value).cast("double"))
+    return named.withColumn("__n", n).withColumn(value, raised).drop("__n")
 
 
 def top_equal(scores: DataFrame, holdings: int = 25, tick: str = "tick", check: bool = True) -> DataFrame:
     """``tick, symbol, rank, weight``: the ``holdings`` highest finite scores above zero of each tick, weighted alike.
 
     Ties go by symbol. The weight is one over the number chosen, which may be less than ``holdings``. Blank and repeated symbols are
-    refused even where their score would not be chosen (``check``).
+    refused even where their score would not be chosen (``check``): the result raises when it is asked for. A tick that holds
+    most rows is ranked in parts.
     """
     if holdings < 1:
         raise ValueError("holdings must be at least 1")
-    if check:
-        refuse(faulty_symbols(scores, tick))
-    named = scores.select(tick, norm_symbol("symbol").alias("symbol"), F.col("score").cast("double").alias("score")).where(finite("score") & (F.col("score") > 0))
-    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy(tick).orderBy(F.desc("score"), "symbol"))).where(F.col("rank") <= holdings)
+    named = _checked(scores, tick, "score", "scores") if check else scores.withColumn("symbol", norm_symbol("symbol"))
+    # the score of a faulty row raises in the filter
+    kept = named.select(tick, "symbol", F.col("score").cast("double").alias("score")).where(finite("score") & (F.col("score") > 0))
+    ranked = first_of(kept, tick, [F.desc("score"), F.asc("symbol")], holdings, "symbol")
     return ranked.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy(tick))).select(tick, "symbol", "rank", "weight")
 
 
@@ -78,7 +86,9 @@ def limited(
 
     In order: below zero; the name's cap; no increase over ``current`` in a drawdown; the share of ``adv`` (none known: zero); the
     sector's total; then the smaller one of the scales for the gross total and for ``volatility``. A null sector is
-    ``UNKNOWN``. Steps on a row stay in one projection; the totals are one window by (tick, sector) and one by tick.
+    ``UNKNOWN``. Symbols are spelled alike. Blank symbols, symbols repeated in a tick and weights that are null, NaN or infinite are
+    refused: the result raises when it is asked for. Steps on a row stay in one projection; totals are partial sums by (tick, sector),
+    joined in parts, so neither a hot tick nor a hot sector is gathered.
     """
     if not 0 <= drawdown <= 1:
         raise ValueError("drawdown must be from 0 to 1")
@@ -86,6 +96,9 @@ def limited(
         raise ValueError("volatility must be above zero")
     if adv is not None and not (equity and equity > 0):
         raise ValueError("a share of adv needs a positive equity")
+    given = _checked(weights, tick, "weight", "weights")
+    odd = F.raise_error(F.concat(F.lit("weight is not finite: "), F.col("symbol"))).cast("double")
+    given = given.withColumn("weight", F.when(finite("weight"), F.col("weight")).otherwise(odd))
     w = F.col("weight")
     bound: list[Column] = []
 
@@ -105,19 +118,20 @@ def limited(
         w = F.when(known, w).otherwise(F.lit(0.0))
         most = F.col(adv) * (limits.max_adv_fraction / equity)
         step("liquidity_cap", known & (w > most), most)
-    rows = weights.withColumn("limited", w).withColumn("__bound", F.array_compact(F.array(*bound)))
-    if sector is not None:
-        group = F.coalesce(F.col(sector), F.lit("UNKNOWN"))
-        total = F.sum("limited").over(Window.partitionBy(tick, group))
-        over = total > limits.max_sector_weight
-        rows = rows.withColumn("__over", over).withColumn("limited", F.when(over, F.col("limited") * F.lit(limits.max_sector_weight) / total).otherwise(F.col("limited")))
-        rows = rows.withColumn("__bound", F.when(F.col("__over"), F.array_append("__bound", F.lit("max_sector_weight"))).otherwise(F.col("__bound"))).drop("__over")
-    gross = F.sum("limited").over(Window.partitionBy(tick))
-    gross_scale = F.when(gross > limits.max_gross_weight, F.lit(limits.max_gross_weight) / gross).otherwise(F.lit(1.0))
+    group = F.coalesce(F.col(sector), F.lit("UNKNOWN")) if sector is not None else F.lit("")
+    rows = given.withColumn("limited", w).withColumn("__bound", F.array_compact(F.array(*bound))).withColumn("__group", group)
+    most_of = F.lit(limits.max_sector_weight if sector is not None else float("inf"))
+    totals = rows.groupBy(tick, "__group").agg(F.sum("limited").alias("__total"))
+    # a few rows a tick: one a sector
+    totals = totals.withColumn("__gross", F.sum(F.least("__total", most_of)).over(Window.partitionBy(tick)))
+    rows = with_totals(rows, totals, [tick, "__group"], "symbol")
+    over = F.col("__total") > most_of
+    sector_scaled = F.when(over, F.col("limited") * most_of / F.col("__total")).otherwise(F.col("limited"))
+    gross_scale = F.when(F.col("__gross") > limits.max_gross_weight, F.lit(limits.max_gross_weight) / F.col("__gross")).otherwise(F.lit(1.0))
     slow = min(1.0, limits.target_volatility / volatility) if volatility is not None else 1.0
-    rows = rows.withColumn("__gross", gross_scale)
-    more = F.array_compact(F.array(F.when(F.col("__gross") < 1, F.lit("max_gross_weight")), F.lit("volatility_target" if slow < 1 else None).cast("string")))
-    return rows.withColumns({"limited": F.col("limited") * F.least(F.col("__gross"), F.lit(slow)), "bound": F.array_sort(F.concat("__bound", more))}).drop("__bound", "__gross")
+    more = F.array(F.when(over, F.lit("max_sector_weight")), F.when(gross_scale < 1, F.lit("max_gross_weight")), F.lit("volatility_target" if slow < 1 else None).cast("string"))
+    out = {"limited": sector_scaled * F.least(gross_scale, F.lit(slow)), "bound": F.array_sort(F.concat("__bound", F.array_compact(more)))}
+    return rows.withColumns(out).drop("__bound", "__group", "__total", "__gross")
 
 
 def decision(limited_rows: DataFrame, tick: str = "tick") -> DataFrame:
