@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickstone.operators.history import membership_history
+from tickstone.operators.history import file_history, membership_history
 from tickstone.operators.outliers import implausible, outlier_report
 from tickstone.operators.regular_grid import regular_grid
 from tickstone.operators.rolling import activity_marks, rolling_totals
@@ -27,6 +27,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return membership_history(table(spark, d, "universe_snapshots"))
 
 
+def p2_versions(spark: SparkSession, d: str) -> DataFrame:
+    return file_history(table(spark, d, "snapshot_manifests"))
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return outlier_report(table(spark, d, "pit_bars"))
 
@@ -48,9 +52,10 @@ def _totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_totals(spark: SparkSession, d: str) -> DataFrame:
-    # averages of sums in whole ten-thousandths, the prices' last digit: free of the sums' order
-    sums = {f"close_avg_{n}": F.try_divide(F.round(f"close_sum_{n}", 4), F.col(f"close_n_{n}").cast("double")) for n in (7, 30)}
-    return _totals(spark, d).withColumns(sums).drop("close_sum_7", "close_n_7", "close_sum_30", "close_n_30")
+    # sums in whole ten-thousandths, the prices' last digit: free of the sums' order
+    sums = {f"close_sum_{n}": F.round(f"close_sum_{n}", 4) for n in (7, 30)}
+    averages = {f"close_avg_{n}": F.try_divide(F.col(f"close_sum_{n}"), F.col(f"close_n_{n}").cast("double")) for n in (7, 30)}
+    return _totals(spark, d).withColumns(sums).withColumns(averages)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,5 +63,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_grid, p1_found, p2_found, p3_report, p3_found, p4_changes, p4_found, p5_totals, p5_found)
+    f.__name__: f for f in (p1_grid, p1_found, p2_found, p2_versions, p3_report, p3_found, p4_changes, p4_found, p5_totals, p5_found)
 }

@@ -49,6 +49,13 @@ SELECT scope AS index_name, item AS symbol, strftime(min(as_of), '%Y-%m-%d') AS
        coalesce(strftime(arg_max(coalesce(next_as_of, DATE '9999-01-01'), seq), '%Y-%m-%d'), '') AS valid_to
 FROM runs GROUP BY scope, item, run"""
 P2 = f"SELECT index_name, symbol, valid_from, CASE WHEN valid_to = '9999-01-01' THEN '' ELSE valid_to END AS valid_to FROM ({P2})"
+P2_VERSIONS = f"""
+WITH {STORES}, {FILES}, dates AS (SELECT scope, seq, as_of, next_as_of FROM stores),
+begun AS (SELECT *, CASE WHEN seq = lag(seq) OVER w + 1 AND hash IS NOT DISTINCT FROM lag(hash) OVER w THEN 0 ELSE 1 END AS new FROM files WHERE item <> '' WINDOW w AS (PARTITION BY scope, item ORDER BY seq)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY scope, item ORDER BY seq) AS run FROM begun),
+spans AS (SELECT scope, item, any_value(hash) AS hash, min(seq) AS a, max(seq) AS z FROM runs GROUP BY scope, item, run)
+SELECT s.scope AS store_name, s.item AS path, s.hash AS sha256, strftime(f.as_of, '%Y-%m-%d') AS valid_from, coalesce(strftime(l.next_as_of, '%Y-%m-%d'), '') AS valid_to
+FROM spans s JOIN dates f ON f.scope = s.scope AND f.seq = s.a JOIN dates l ON l.scope = s.scope AND l.seq = s.z"""
 CHANGES = f"""
 WITH {UNIVERSE}, {MEMBERS}, {STORES}, {FILES},
 items AS (SELECT scope, seq, item, NULL AS hash, 'u' AS kind FROM members UNION ALL SELECT scope, seq, item, hash, 'f' FROM files),
@@ -73,6 +80,7 @@ full_days AS (SELECT g.symbol, g.day, g.day - g.lo + 1 AS day_number, coalesce(d
                      coalesce(d.close, 0) AS close, coalesce(d.n_close, 0) AS n_close
               FROM grid g LEFT JOIN daily d ON d.symbol = g.symbol AND d.day = g.day),
 totals AS (SELECT symbol, day, day_number, volume, n_volume,
+                  round(sum(close) OVER w7, 4) AS close_sum_7, CAST(sum(n_close) OVER w7 AS BIGINT) AS close_n_7, round(sum(close) OVER w30, 4) AS close_sum_30, CAST(sum(n_close) OVER w30 AS BIGINT) AS close_n_30,
                   round(sum(close) OVER w7, 4) / nullif(sum(n_close) OVER w7, 0) AS close_avg_7, round(sum(close) OVER w30, 4) / nullif(sum(n_close) OVER w30, 0) AS close_avg_30,
                   sum(volume) OVER w7 AS volume_7, sum(n_volume) OVER w7 AS active_7, sum(volume) OVER w30 AS volume_30, sum(n_volume) OVER w30 AS active_30
            FROM full_days
@@ -124,13 +132,14 @@ P3_CASES = f"""{P3}, cases AS (
 SQL: dict[str, str] = {
     "p1_found": P1,
     "p2_found": P2,
+    "p2_versions": P2_VERSIONS,
     "p3_report": f"""{P3_CASES}
 SELECT symbol, field, ['limit', 'spike', 'stuck'][kind] AS kind, count(*) AS n, min(event_us) AS first_us, max(event_us) AS last_us FROM cases GROUP BY symbol, field, cases.kind""",
     "p3_found": f"{P3_CASES} SELECT symbol, event_us, field FROM cases",
     "p4_changes": CHANGES,
     "p4_found": f"SELECT scope, as_of, item, change FROM ({CHANGES})",
     "p5_totals": f"""{P5_TOTALS}
-SELECT symbol, strftime(day, '%Y-%m-%d') AS activity_day, CAST(day_number AS INTEGER) AS day_number, volume, n_volume, volume_7, CAST(active_7 AS BIGINT) AS active_7, close_avg_7,
-       volume_30, CAST(active_30 AS BIGINT) AS active_30, close_avg_30 FROM totals""",
+SELECT symbol, strftime(day, '%Y-%m-%d') AS activity_day, CAST(day_number AS INTEGER) AS day_number, volume, n_volume, volume_7, CAST(active_7 AS BIGINT) AS active_7, close_sum_7, close_n_7, close_avg_7,
+       volume_30, CAST(active_30 AS BIGINT) AS active_30, close_sum_30, close_n_30, close_avg_30 FROM totals""",
     "p5_found": P5,
 }
