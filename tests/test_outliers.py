@@ -7,7 +7,9 @@ import numpy as np
 import pandas as pd
 from helpers import NAN, at, bar, frame, tuples
 
-from tickstone.operators.outliers import Limits, additive_outliers, implausible, outlier_report
+from pyspark.sql import functions as F
+
+from tickstone.operators.outliers import Limits, additive_outliers, departures, implausible, outlier_report
 from tickstone.operators.readings import readings
 from tickstone.operators.series import pieces, segment_median, whole_groups
 
@@ -97,7 +99,23 @@ def test_pieces_place_rows_exactly(spark):
     core = p[p.core].sort_values(["symbol", "pos"])
     assert len(core) == 257 and (core.close - 1 == core.pos).all() and (core.pos // 50 == core.piece).all()
     a = p[(p.symbol == "A") & (p.piece == 2)]
-    assert sorted(a.pos) == list(range(95, 155)) and set(p[p.symbol == "B"].piece) == {0} and set(p.total) == {250, 7}
+    # at least five on either side, and what lies in the same day
+    assert set(range(95, 155)) <= set(a.pos) and list(a.pos.sort_values()) == list(range(a.pos.min(), a.pos.max() + 1)) and len(a) <= 50 + 2 * (5 + 2 * 24)
+    assert set(p[p.symbol == "B"].piece) == {0} and set(p.total) == {250, 7} and not p.duplicated(["symbol", "piece", "pos"]).any()
+
+
+def test_pieces_see_the_usable_rows_around_them(spark):
+    n = 400
+    rows = rows_of("A", [None if 90 <= i < 230 else i + 1.0 for i in range(n)], [1.0 if i % 7 == 0 else None for i in range(n)])
+    r = readings(frame(spark, rows), ["close", "volume"])
+    p = pieces(r, "symbol", "day", "event_time", 50, 5, {"c": F.col("close").isNotNull(), "v": F.col("volume").isNotNull()}).toPandas()
+    for piece in range(8):
+        mine = p[p.piece == piece]
+        assert sorted(mine[mine.core].pos) == list(range(50 * piece, 50 * piece + 50))
+        for c in ("close", "volume"):
+            known = [i for i in range(n) if (not 90 <= i < 230 if c == "close" else i % 7 == 0)]
+            seen = set(mine[mine[c].notna()].pos)
+            assert set([i for i in known if i < 50 * piece][-5:]) <= seen and set([i for i in known if i >= 50 * piece + 50][:5]) <= seen
 
 
 def test_whole_groups_and_medians():
@@ -118,6 +136,15 @@ def test_a_normal_value_between_two_spikes_is_kept():
     assert list(np.flatnonzero(out)) == [10, 12]
 
 
+def test_departures_are_those_beyond_the_limit():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        d, seg = rng.normal(0, 1, 200) * rng.choice([1, 1, 1, 30], 200), np.sort(rng.integers(0, 4, 200))
+        phi = np.full(200, rng.choice([0.0, 0.2, 0.5]))
+        assert list(departures(d, seg, np.full(200, 10.0), phi)) == list(np.abs(d) > 10.0)
+    assert not departures(np.array([1e9]), np.zeros(1, int), np.array([np.inf]), np.zeros(1)).any() and len(departures(np.zeros(0), np.zeros(0, int), np.zeros(0), np.zeros(0))) == 0
+
+
 def test_level_shift_and_edges_are_kept():
     x = np.r_[np.zeros(10), np.full(10, math.log(2))]
     x[0], x[-1] = 3.0, 3.0
@@ -129,5 +156,5 @@ def test_hot_symbol_is_spread(spark):
     c, v = series(3000, seed=2, sigma=0.001)
     df = frame(spark, rows_of("HOT", c, v))
     sizes = pieces(readings(df, ["close"]), "symbol", "day", "event_time", 256, 64).groupBy("piece").count().toPandas()
-    assert sizes["count"].max() <= 256 + 2 * 64 and len(sizes) == 12
+    assert sizes["count"].max() <= 256 + 2 * (64 + 2 * 24) and len(sizes) == 12
     assert tuples(implausible(df, Limits(piece=256, overlap=64)).where("field = 'close'")) == []

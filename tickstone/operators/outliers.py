@@ -3,7 +3,9 @@
 Each source's logarithms follow a robust autoregression of their changes: the usual non-zero change (a median) is the scale
 and the quadrant correlation of consecutive changes the coefficient. A block of one to three readings is an additive
 outlier if it is away from what both sides predict while the sides agree; a level shift, which does not come back, is none.
-Outliers found are taken out and the tests repeated until none is new. Stuck runs and physical limits are told apart.
+Outliers found are taken out and the tests repeated until none is new. Volumes, which come back to a typical level, are an
+autoregression around it: a value is an additive outlier if its residual from the clean value before it is too large, and it is
+confirmed by its distance from the typical volume itself. Stuck runs and physical limits are told apart.
 
 Series are cut into pieces of bounded length with overlapping neighbours, whatever a source's share of the rows. One pass gives
 partial statistics by piece, which are joined into one row a source; a second pass applies the tests. Medians are exact: those of
@@ -17,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickstone.functions.columns import finite, usable
 from tickstone.operators.readings import readings
 from tickstone.operators.series import pieces, segment_median, whole_groups
 
@@ -29,7 +32,8 @@ STUCK_FIELDS = ("close", "open", "volume")
 # kinds of partial statistics
 CHANGE = {"open": 0, "close": 1}
 VOLUME_MEDIAN, VOLUME_SPREAD = 3, 4
-QUADRANTS = {"open": 5, "close": 6}
+QUADRANTS = {"open": 5, "close": 6, "volume": 7}
+VOLUME_PAIRS = 8
 STEPS = {"close": 10, "open": 11, "volume": 12}
 REPEATS = {"close": 20, "open": 21, "volume": 22}
 
@@ -39,8 +43,8 @@ class Limits:
     """``factor``: times the usual change, or the usual spread, beyond which a value is away.
     ``spread_scale``: the spread of volumes is this times the median distance from the typical (1.25 is about the mean
     distance). ``back_within``: readings within which a spike is back. ``run``: least length of a stuck run.
-    ``seldom``: share of repeats, outside such runs, below which a field seldom repeats. ``piece`` and ``overlap``: readings
-    in a piece and in its overlaps; what lies further than the overlap is not seen from a reading.
+    ``seldom``: share of repeats, outside such runs, below which a field seldom repeats. ``piece``: readings in a piece. ``overlap``: values of a
+    field, of those that its tests use, that a piece also sees on either side of it, however many others lie between.
     """
 
     factor: float = 10.0
@@ -106,6 +110,10 @@ def _statistics(limits: Limits):
                 agree = np.sign(d[1:]) * np.sign(d[:-1])
                 summed(QUADRANTS[f], s[1:][both], agree[both])
             at, x = _logs(frame, "volume")
+            d, s = np.sign(np.diff(x)), seg[at][1:]
+            both = core[at][2:] & (s[1:] == s[:-1]) & (seg[at][:-2] == s[1:])
+            summed(QUADRANTS["volume"], s[1:][both], (d[1:] * d[:-1])[both])
+            summed(VOLUME_PAIRS, s[1:][both], np.abs(d[1:] * d[:-1])[both])
             at, x = at[core[at]], x[core[at]]
             s = seg[at]
             g, m = middle_of(VOLUME_MEDIAN, s, x)
@@ -166,7 +174,8 @@ def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v = np.frombuffer(r.held)
             a, z = np.searchsorted(v, [r.lo, r.hi], side="right")
             x, n = np.unique(v[a:z], return_counts=True)
-            out.append({"symbol": np.full(len(x) + 1, r.symbol, object), "kind": np.full(len(x) + 1, r.kind, np.int32), "value": np.r_[-np.inf, x], "n": np.r_[a, n].astype(float)})
+            m = len(x) + 1
+            out.append({"symbol": np.full(m, r.symbol, object), "kind": np.full(m, r.kind, np.int32), "total": np.full(m, r.total), "all": np.full(m, r.all), "value": np.r_[-np.inf, x], "n": np.r_[a, n].astype(float)})
         yield from _joined(out)
 
 
@@ -199,13 +208,14 @@ def _exact_medians(held: DataFrame, limits: Limits) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("upto") + F.col("more") < rank, F.col("value"))), F.lit(float("-inf"))).alias("lo"),
         F.min(F.when(F.col("upto") >= rank, F.col("value"))).alias("hi"),
     )
-    inside = held.join(_by_piece(bounds.select(*key, "total", "lo", "hi"), limits), [*key, "piece"]).mapInPandas(_between, "symbol string, kind int, value double, n double")
-    counted = inside.groupBy(*key, "value").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto))
-    found = counted.join(bounds.select(*key, "total", "all"), key).where(F.col("upto") >= rank)
+    # all columns of ``held`` are kept, so that its exchange is the one of the points
+    near = held.join(_by_piece(bounds, limits), [*key, "piece"])
+    counted = near.mapInPandas(_between, "symbol string, kind int, total bigint, all double, value double, n double").groupBy(*key, "total", "all", "value").agg(F.sum("n").alias("n"))
+    found = counted.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= rank)
     return found.groupBy(*key, "total", "all").agg(F.min("value").alias("value")).select(*key, "value", F.col("all").alias("n"), "total")
 
 
-STAT_COLUMNS = [f"u_{f}" for f in PRICES] + [f"phi_{f}" for f in PRICES] + ["volume_typical", "volume_spread"] + [f"rare_{f}" for f in STUCK_FIELDS]
+STAT_COLUMNS = [f"u_{f}" for f in PRICES] + [f"phi_{f}" for f in (*PRICES, "volume")] + ["volume_typical", "volume_spread"] + [f"rare_{f}" for f in STUCK_FIELDS]
 
 
 def _join_statistics(limits: Limits):
@@ -228,6 +238,9 @@ def _join_statistics(limits: Limits):
                 out[f"u_{f}"] = np.exp(median(CHANGE[f]))
                 changes = np.maximum(total(CHANGE[f]), 1)
                 out[f"phi_{f}"] = np.clip(np.sin(np.pi / 2 * np.clip(total(QUADRANTS[f]) / changes, -1, 1)), -0.5, 0.5)
+            # changes of an autoregression with coefficient phi around a level correlate by -(1 - phi) / 2
+            turns = np.sin(np.pi / 2 * np.clip(total(QUADRANTS["volume"]) / np.maximum(total(VOLUME_PAIRS), 1), -1, 1))
+            out["phi_volume"] = np.clip(1 + 2 * turns, 0.0, 0.5)
             out["volume_typical"] = median(VOLUME_MEDIAN)
             out["volume_spread"] = median(VOLUME_SPREAD) * limits.spread_scale
             for f in STUCK_FIELDS:
@@ -273,6 +286,25 @@ def additive_outliers(x: np.ndarray, seg: np.ndarray, scale: np.ndarray, phi: np
     return out
 
 
+def departures(d: np.ndarray, seg: np.ndarray, far: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """Marks of additive outliers in departures ``d`` from a typical level, an autoregression with coefficient ``phi`` (0 to 1).
+
+    A value's residual from the clean value before it is tested against what a departure of ``far`` leaves at least, ``(1 - phi) * far``; those
+    found are confirmed by the departure itself, taken out, and the tests repeated. As the value before the first outlier that is
+    left is within ``far``, every departure beyond ``far`` is found in the end.
+    """
+    out = np.zeros(len(d), bool)
+    while True:
+        k = np.flatnonzero(~out)
+        v, s = d[k], seg[k]
+        before = np.r_[0.0, np.where(s[1:] == s[:-1], v[:-1], 0.0)][: len(k)]
+        with np.errstate(invalid="ignore"):
+            hit = (np.abs(v - phi[k] * before) > (1 - phi[k]) * far[k] * (1 - 1e-12)) & (np.abs(v) > far[k])
+        if not hit.any():
+            return out
+        out[k[hit]] = True
+
+
 def _tests(limits: Limits):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, seg in whole_groups(batches, ["symbol", "piece"]):
@@ -285,9 +317,9 @@ def _tests(limits: Limits):
                     marks["limit"] = (v < 0) | np.isinf(v) | ((v == 0) & (f != "volume"))
                 at, x = _logs(frame, f)
                 if f == "volume":
-                    with np.errstate(invalid="ignore"):
-                        away = np.abs(x - stat["volume_typical"][at]) > limits.factor * stat["volume_spread"][at]
-                    marks["spike"][at] = away & (stat["volume_spread"][at] > 0)
+                    spread, phi = stat["volume_spread"][at], np.nan_to_num(stat["phi_volume"][at])
+                    far = np.where(spread > 0, limits.factor * spread, np.inf)
+                    marks["spike"][at] = departures(np.nan_to_num(x - stat["volume_typical"][at]), seg[at], far, phi)
                 elif f == "adj_factor":
                     tiny = np.full(len(at), 1e-9 / limits.factor)
                     marks["spike"][at] = additive_outliers(x, seg[at], tiny, np.zeros(len(at)), limits.factor, limits.back_within)
@@ -307,14 +339,22 @@ def _tests(limits: Limits):
     return run
 
 
+def needed_values() -> dict[str, Column]:
+    """The values of each field that its tests use: those with a logarithm, and those that can be in a stuck run."""
+    held = {f"held_{f}": usable(f) & ((F.col(f) != 0) | F.lit(f != "volume")) for f in STUCK_FIELDS}
+    return {f"log_{f}": finite(f) & (F.col(f) > 0) for f in FIELDS} | held
+
+
 def series_statistics(parts: DataFrame, limits: Limits) -> DataFrame:
     """One row a series with what the tests need: ``symbol, total`` and ``STAT_COLUMNS``."""
     by_piece = ["symbol", "piece", "pos"]
-    # every use reads all columns, so that Spark makes each exchange once
-    partial = parts.sortWithinPartitions(*by_piece).mapInPandas(_statistics(limits), PARTIAL).repartition("symbol", "kind", "piece")
+    # every use reads all columns and knows the keys to be there, so that Spark makes each exchange once
+    keyed = "symbol is not null and kind is not null and piece is not null"
+    partial = parts.sortWithinPartitions(*by_piece).mapInPandas(_statistics(limits), PARTIAL).where(keyed).repartition("symbol", "kind", "piece")
     medians = _exact_medians(partial, limits)
-    typical = _by_piece(medians.where(F.col("kind") == VOLUME_MEDIAN).select("symbol", "kind", F.col("value").alias("middle"), "total"), limits)
-    away = partial.join(typical, ["symbol", "kind", "piece"]).mapInPandas(_distances, PARTIAL).repartition("symbol", "kind", "piece")
+    # all kinds, of which _distances takes the volume's: a filter here would pass through the join below the exchange of ``partial``
+    typical = _by_piece(medians.select("symbol", "kind", F.col("value").alias("middle"), "total"), limits)
+    away = partial.join(typical, ["symbol", "kind", "piece"]).mapInPandas(_distances, PARTIAL).where(keyed).repartition("symbol", "kind", "piece")
     summed = partial.mapInPandas(_summed_partials, "symbol string, kind int, value double, n double, total bigint")
     summed = summed.groupBy("symbol", "kind", "value", "total").agg(F.sum("n").alias("n")).select("symbol", "kind", "value", "n", "total")
     every = summed.unionByName(medians).unionByName(_exact_medians(away, limits))
@@ -332,7 +372,7 @@ def implausible(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     count once, empty tables give no rows, extra columns are ignored.
     """
     r = readings(bars, FIELDS).withColumn("pos_us", F.unix_micros("event_time")).drop("event_time")
-    parts = pieces(r, "symbol", "day", "pos_us", limits.piece, limits.overlap)
+    parts = pieces(r, "symbol", "day", "pos_us", limits.piece, limits.overlap, needed_values())
     by_piece = ["symbol", "piece", "pos"]
     stats = _by_piece(series_statistics(parts, limits), limits)
     # both passes read every column of the pieces, so that Spark makes their exchange once

@@ -26,7 +26,8 @@ def readings(bars: DataFrame, fields: Sequence[str], zone: str = "America/New_Yo
         F.col("event_time"),
         F.coalesce(F.col("available_at"), F.lit(FAR).cast("timestamp")).alias("__at"),
         *(F.col(f).cast("double").alias(f) for f in fields),
-    ).where(F.col("symbol").isNotNull() & F.col("event_time").isNotNull())
+        # that a day is there is said as well: a join by day would else add it to one use of the exchange below and not to the others
+    ).where(F.col("symbol").isNotNull() & F.col("event_time").isNotNull() & F.col("day").isNotNull())
     first = (
         rows.repartition("symbol", "day")
         .groupBy("symbol", "day", "event_time")

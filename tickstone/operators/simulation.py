@@ -8,12 +8,16 @@ session are windows and sums over all sessions at once. Only the money depends o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tickstone.functions.columns import finite, norm_symbol
+from tickstone.operators.series import bucket_of, in_pieces
 from tickstone.session import small
 
 NEEDED = ("symbol", "event_time", "open", "close", "target_weight", "signal_available_at", "adv_dollars", "annual_volatility")
@@ -81,9 +85,20 @@ def violations(panel: DataFrame, opens: DataFrame | None = None) -> DataFrame:
     return rows.unionByName(twice).unionByName(gross).unionByName(missing_next(p))
 
 
+def _next_times(times: DataFrame, at: str) -> DataFrame:
+    """Each distinct time with the ``next`` one: inside its bucket of 32 days, else the first of the next bucket that has one.
+
+    Only the buckets (a dozen a year) are ordered in one task.
+    """
+    distinct = times.select(at).where(F.col(at).isNotNull()).distinct().withColumn("__b", bucket_of(times, at))
+    later = distinct.groupBy("__b").agg(F.min(at).alias("__first")).withColumn("__later", F.lead("__first").over(Window.partitionBy(F.lit(0)).orderBy("__b")))
+    inside = distinct.withColumn("next", F.lead(at).over(Window.partitionBy("__b").orderBy(at)))
+    return inside.join(later.select("__b", "__later"), "__b").select(at, F.coalesce("next", "__later").alias("next"))
+
+
 def missing_next(panel: DataFrame) -> DataFrame:
     """Symbols held after a session that have no bar in the next one, at the later session's time."""
-    times = panel.select("event_time").distinct().withColumn("next", F.lead("event_time").over(Window.partitionBy(F.lit(0)).orderBy("event_time")))
+    times = _next_times(panel, "event_time")
     held = panel.where("target_weight > 0").select("event_time", "symbol").join(times, "event_time").where("next is not null")
     gone = held.select(F.col("next").alias("event_time"), "symbol").join(panel.select("event_time", "symbol"), ["event_time", "symbol"], "left_anti")
     return gone.select("event_time", F.lit(3).alias("phase"), "symbol", F.lit("held symbol has no bar").alias("problem"))
@@ -92,56 +107,75 @@ def missing_next(panel: DataFrame) -> DataFrame:
 def session_terms(panel: DataFrame, cost: CostModel = CostModel(), run: str | None = None) -> DataFrame:
     """One row a session: ``r_over`` (before the open, on what is held), ``r_in`` (from open to close), ``turnover``, ``a``, ``b``.
 
-    One window by symbol and two sums by session; ``run`` names a column that keeps several simulations apart.
+    ``run`` names a column that keeps several simulations apart. Rows without symbol or session are left out. A symbol's series is
+    worked on in pieces; a session's totals are partial sums, joined back to its rows (one row a session: broadcast where Spark
+    finds it small, split where a session is hot).
     """
-    keys = [run] if run else []
-    base = panel.withColumn("symbol", norm_symbol("symbol"))
-    grow = F.col("target_weight") * F.try_divide(F.col("close"), F.col("open"))
-    session = Window.partitionBy(*keys, "event_time")
-    r_in = F.sum(grow - F.col("target_weight")).over(session)
-    held = base.withColumn("__in", r_in).withColumn("__held", F.when(F.col("target_weight") > 0, F.try_divide(grow, 1 + F.col("__in"))).otherwise(0.0))
-    by = Window.partitionBy(*keys, "symbol").orderBy("event_time")
-    before = held.withColumn("__was", F.coalesce(F.lag("__held").over(by), F.lit(0.0))).withColumn("__gap", F.coalesce(F.try_divide(F.col("open"), F.lag("close").over(by)), F.lit(1.0)))
-    over = before.withColumn("__over", F.sum(F.col("__was") * (F.col("__gap") - 1)).over(session))
-    moved = F.abs(F.col("target_weight") - F.try_divide(F.col("__was") * F.col("__gap"), 1 + F.col("__over")))
-    terms = over.withColumn("__d", moved)
-    return terms.groupBy(*keys, "event_time").agg(
-        F.first("__over").alias("r_over"),
-        F.first("__in").alias("r_in"),
+    keys = [*([run] if run else []), "event_time"]
+    series = F.struct(*([run] if run else []), "symbol") if run else F.col("symbol")
+    base = panel.withColumn("symbol", norm_symbol("symbol")).where("symbol is not null").withColumn("__series", series)
+    base = base.withColumn("__grow", F.col("target_weight") * F.try_divide(F.col("close"), F.col("open")))
+    inside = base.groupBy(*keys).agg(F.sum(F.col("__grow") - F.col("target_weight")).alias("r_in"))
+
+    def made(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        held = F.when(F.lag("target_weight").over(w) > 0, F.lag("__grow").over(w))
+        return rows.withColumns({"__held": held, "__then": F.lag("event_time").over(w), "__gap": F.coalesce(F.try_divide(F.col("open"), F.lag("close").over(w)), F.lit(1.0))})
+
+    rows = in_pieces(base, "__series", "event_time", 1, made)
+    then = inside.select(*keys[:-1], F.col("event_time").alias("__then"), F.col("r_in").alias("__r_then"))
+    rows = rows.join(then, [*keys[:-1], "__then"], "left").withColumn("__was", F.coalesce(F.try_divide(F.col("__held"), 1 + F.col("__r_then")), F.lit(0.0)))
+    over = rows.groupBy(*keys).agg(F.sum(F.col("__was") * (F.col("__gap") - 1)).alias("r_over"))
+    moved = F.abs(F.col("target_weight") - F.try_divide(F.col("__was") * F.col("__gap"), 1 + F.col("r_over")))
+    terms = rows.join(over, keys).withColumn("__d", moved)
+    sums = terms.groupBy(*keys).agg(
+        F.first("r_over").alias("r_over"),
         F.sum("__d").alias("turnover"),
         (F.lit(cost.linear) * F.sum("__d")).alias("a"),
         F.sum(F.lit(cost.impact) * F.col("annual_volatility") * F.pow(F.col("__d"), F.lit(1.5)) / F.sqrt("adv_dollars")).alias("b"),
     )
+    return sums.join(inside, keys).select(*keys, "r_over", "r_in", "turnover", "a", "b")
+
+
+def _folded(initial: float, run: str | None):
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        equity, at = initial, None
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if run and r[0] != at:
+                    equity, at = initial, r[0]
+                row = r[1:] if run else r
+                _, over, inside, turnover, a, cost_b = row
+                before = equity * (1 + over)
+                before = before if before > 0 else math.nan
+                paid = a * before + cost_b * before**1.5
+                left = before - paid if before - paid > 0 else math.nan
+                after = left * (1 + inside)
+                after = after if after > 0 else math.nan
+                out.append((*r[: 2 if run else 1], before * (1 + inside) / equity - 1, paid, turnover, after / equity - 1, after))
+                equity = after
+            yield pd.DataFrame(out, columns=[*([run] if run else []), "event_time", "gross_return", "transaction_costs", "turnover", "net_return", "equity"])
+
+    return go
 
 
 def fold(terms: DataFrame, initial: float = 1000.0, run: str | None = None) -> DataFrame:
     """``event_time, gross_return, transaction_costs, turnover, net_return, equity`` from ``session_terms``.
 
-    The terms of a run, one row a session, are folded in order by ``aggregate``. Equity that is not above zero makes this and all later
-    sessions' values null, which ``simulate`` refuses.
+    One pass over the sessions of each run in order, one row a session, that holds the equity only; runs are spread over tasks. Equity that
+    is not above zero makes this and all later sessions' values null, which ``simulate`` refuses.
     """
     if not math.isfinite(initial) or initial <= 0:
         raise ValueError("the initial equity must be finite and above zero")
     keys = [run] if run else []
-    listed = F.array_sort(F.collect_list(F.struct("event_time", "r_over", "r_in", "turnover", "a", "b")))
-    state = "struct<equity:double,rows:array<struct<event_time:{0},gross_return:double,transaction_costs:double,turnover:double,net_return:double,equity:double>>>".format(terms.schema["event_time"].dataType.simpleString())
-    start = F.struct(F.lit(float(initial)).alias("equity"), F.array().alias("rows")).cast(state)
-
-    def step(s: Column, x: Column) -> Column:
-        alive = F.when(s["equity"] > 0, s["equity"])
-        e = alive * (1 + x["r_over"])
-        e = F.when(e > 0, e)
-        paid = x["a"] * e + x["b"] * e * F.sqrt(e)
-        left = F.when(e - paid > 0, e - paid)
-        after = left * (1 + x["r_in"])
-        after = F.when(after > 0, after)
-        row = F.struct(
-            x["event_time"].alias("event_time"), (e * (1 + x["r_in"]) / alive - 1).alias("gross_return"), paid.alias("transaction_costs"), x["turnover"].alias("turnover"), (after / alive - 1).alias("net_return"), after.alias("equity")
-        )
-        return F.struct(after.alias("equity"), F.concat(s["rows"], F.array(row)).alias("rows")).cast(state)
-
-    folded = terms.groupBy(*keys).agg(F.aggregate(listed, start, step).alias("s"))
-    return folded.select(*keys, F.explode("s.rows").alias("r")).select(*keys, "r.*")
+    columns = [*keys, "event_time", "r_over", "r_in", "turnover", "a", "b"]
+    kinds = {f.name: f.dataType.simpleString() for f in terms.schema}
+    given = terms.select(*columns)
+    laid = given.repartition(run) if run else given.repartition(1)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*keys, "event_time"]), *(f"{c} double" for c in ("gross_return", "transaction_costs", "turnover", "net_return", "equity"))])
+    out = laid.sortWithinPartitions(*keys, "event_time").mapInPandas(_folded(float(initial), run), schema)
+    numbers = ("gross_return", "transaction_costs", "turnover", "net_return", "equity")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in numbers})
 
 
 def simulate(panel: DataFrame, initial: float = 1000.0, cost: CostModel = CostModel(), opens: DataFrame | None = None) -> DataFrame:
