@@ -34,3 +34,8 @@ def first_of(rows: DataFrame, key: str, order: Sequence[Column], most: int, by:
     part = F.row_number().over(Window.partitionBy(key, "__salt").orderBy(*order))
     few = rows.withColumn("__salt", salt(by)).withColumn("__r", part).where(F.col("__r") <= most).drop("__salt", "__r")
     return few.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(rank) <= most)
+
+
+def latest(rows: DataFrame, key: str, order: Sequence[Column], most: int, by: str, place: str = "place") -> DataFrame:
+    """The last ``most`` rows of each ``key``, newest first by ``order`` (given newest first), with their ``place`` from 1."""
+    return first_of(rows, key, order, most, by, place)

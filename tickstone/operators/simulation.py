@@ -8,7 +8,7 @@ session are windows and sums over all sessions at once. Only the money depends o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -56,6 +56,11 @@ def _named(panel: DataFrame) -> DataFrame:
     return panel.select(*NEEDED).withColumn("symbol", norm_symbol("symbol")).withColumns(numbers)
 
 
+def repeated(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``key`` and ``n`` of the keys with several rows; a null in a key is a value."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def violations(panel: DataFrame, opens: DataFrame | None = None) -> DataFrame:
     """``event_time, phase, symbol, problem``: everything in a panel that a simulation must refuse.
 
@@ -80,7 +85,7 @@ def violations(panel: DataFrame, opens: DataFrame | None = None) -> DataFrame:
     ]
     problem = F.coalesce(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for c, n in checks))
     rows = p.select("event_time", F.lit(1).alias("phase"), "symbol", problem.alias("problem")).where("problem is not null")
-    twice = p.groupBy("event_time", "symbol").count().where("count > 1").select("event_time", F.lit(1).alias("phase"), "symbol", F.lit("duplicate symbol").alias("problem"))
+    twice = repeated(p, ["event_time", "symbol"]).select("event_time", F.lit(1).alias("phase"), "symbol", F.lit("duplicate symbol").alias("problem"))
     gross = p.groupBy("event_time").agg(F.sum("target_weight").alias("g")).where("g > 1 + 1e-9").select("event_time", F.lit(2).alias("phase"), F.lit(None).cast("string").alias("symbol"), F.lit("targets above 100%").alias("problem"))
     return rows.unionByName(twice).unionByName(gross).unionByName(missing_next(p))
 

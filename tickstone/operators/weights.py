@@ -22,6 +22,12 @@ def faulty_symbols(rows: DataFrame, tick: str, symbol: str = "symbol") -> DataFr
     return blank.unionByName(twice)
 
 
+def weight_faults(rows: DataFrame, tick: str, symbol: str = "symbol", weight: str = "weight") -> DataFrame:
+    """``tick, symbol, problem``: what ``limited`` refuses: faulty symbols, and weights that are null, NaN or infinite."""
+    odd = rows.where(~finite(weight)).select(tick, norm_symbol(symbol).alias("symbol")).withColumn("problem", F.lit("weight is not finite"))
+    return faulty_symbols(rows, tick, symbol).unionByName(odd)
+
+
 def _checked(rows: DataFrame, tick: str, value: str, what: str) -> DataFrame:
     """``rows`` with ``symbol`` spelled alike; using ``value`` raises where a symbol is blank or repeated in its tick.
 

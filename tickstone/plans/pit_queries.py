@@ -12,15 +12,19 @@ from datetime import UTC, date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickstone.functions.columns import norm_symbol, simple_return
-from tickstone.operators.bars import close_of, daily_from_events, daily_to_pit, visible_at_ticks
+from tickstone.functions.columns import DAY_US, norm_symbol, zone_day
+from tickstone.operators.bars import daily_from_events, daily_to_pit, visible_at_ticks
 from tickstone.operators.evaluation import metrics, predict, split, train_baseline
-from tickstone.operators.features import add_features, drawdown, momentum, trailing_mean, usable_labels
-from tickstone.operators.simulation import CostModel, fold, missing_next, session_terms
+from tickstone.operators.features import add_features, buy_and_hold, drawdown, momentum, trailing_mean, usable_labels
+from tickstone.operators.features import overnight_gap as gaps
+from tickstone.operators.hot import latest
+from tickstone.operators.simulation import CostModel, fold, missing_next, repeated, session_terms
 from tickstone.operators.weights import DUST, Limits, decision, limited, top_equal
 from tickstone.plans.flow import replay_differences
+from tickstone.plans.reports import checked_scores
 from tickstone.sources.calendar import session_table, weekdays
 from tickstone.sources.pit_store import coverage, keep_first, new_keys, visible
+from tickstone.sources.files import distinct_symbols
 from tickstone.sources.tables import table
 
 NOW = datetime(2024, 1, 25, 12, tzinfo=UTC)
@@ -117,10 +121,12 @@ def bars_daily_ohlcv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bar_to_pit_close(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    raw = o.select(F.col("o_orderkey").cast("string").alias("symbol"), (F.col("o_orderdate") + F.expr("INTERVAL 5 HOURS")).cast("timestamp").alias("ts"), *(F.col("o_totalprice").alias(c) for c in ("open", "high", "low", "close", "volume", "vwap")))
-    sessions = session_table(spark, date(1996, 1, 1), date(1998, 12, 31)).where(F.hour("close_utc") >= 20)
-    p = daily_to_pit(raw, sessions)
+    """Daily bars of every symbol's days in ``pit_bars`` against the calendar: full and short sessions, and days without one."""
+    b = table(spark, d, "pit_bars").where("event_time is not null")
+    start = F.timestamp_micros(F.unix_date(zone_day("event_time", "UTC")).cast("bigint") * DAY_US + 5 * 3_600_000_000)
+    daily = b.groupBy(norm_symbol("symbol").alias("symbol"), start.alias("ts")).agg(F.min("close").alias("close")).where("symbol is not null")
+    raw = daily.select("symbol", "ts", *(F.col("close").alias(c) for c in ("open", "high", "low", "close", "volume", "vwap")))
+    p = daily_to_pit(raw, table(spark, d, "exchange_sessions"))
     return p.select("symbol", F.col("event_time").cast(NTZ).alias("event_time"), F.col("available_at").cast(NTZ).alias("available_at"), "close")
 
 
@@ -150,10 +156,6 @@ def coverage_stats(spark: SparkSession, d: str) -> DataFrame:
     return coverage(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("event_time")))
 
 
-def dup_key_check(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey", "l_shipdate").agg(F.count("*").alias("n")).where("n > 1")
-
-
 def features_lag_ret(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(add_features(panel_a(spark, d)).select("symbol", "session", "ret_1", "ret_5"))
 
@@ -200,7 +202,7 @@ def topk_equal_weight(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _limited(spark: SparkSession, d: str) -> DataFrame:
-    return limited(panel_d(spark, d), Limits(), adv="adv", equity=2000.0, sector="sector", current="current", drawdown=0.1, volatility=0.25)
+    return limited(panel_d(spark, d), Limits(), adv="adv", equity=2000.0, sector="sector", current="current", drawdown=0.16, volatility=0.25)
 
 
 def limited_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -246,19 +248,17 @@ def replay_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def universe_clean(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where(F.col("p_type").isin("ECONOMY", "SMALL") & (F.btrim("p_name") != ""))
-    return p.select(norm_symbol(F.concat(F.lit(" \t"), "p_name", F.lit(" "))).alias("symbol")).distinct()
+    p = table(spark, d, "part").where(F.col("p_type").isin("ECONOMY", "SMALL"))
+    return distinct_symbols(p.select(F.concat(F.lit(" \t"), "p_name", F.lit(" ")).alias("symbol")))
 
 
 def event_log_parse(spark: SparkSession, d: str) -> DataFrame:
-    k = F.from_json("props", "k int").getField("k")
-    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, d, "events").withColumn("k", k).withColumn("__n", last).where("__n = 1").select("user_id", "event_id", "k")
+    last = latest(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 1, "event_id")
+    return last.select("user_id", "event_id", F.from_json("props", "k int").getField("k").alias("k"))
 
 
 def recent_outputs(spark: SparkSession, d: str) -> DataFrame:
-    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, d, "events").withColumn("place", last).where("place <= 5").select("user_id", "event_id", "place")
+    return latest(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5, "event_id").select("user_id", "event_id", "place")
 
 
 def momentum_12_1(spark: SparkSession, d: str) -> DataFrame:
@@ -274,13 +274,25 @@ def adv_20(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.contains("text", F.lit("percent")).alias("quoted"), F.coalesce(F.col("n_chars").between(400, 1200), F.lit(False)).alias("in_range"))
+    """Scored answers about documents: some out of range, some with evidence that the document does not hold, some in no format."""
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    score = (F.col("doc_id") % 5 - 2) / 1.5
+    evidence = F.when(F.col("doc_id") % 3 == 0, F.reverse("text")).when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.substring("text", 3, 25))
+    answer = F.when(F.col("doc_id") % 11 == 0, F.lit("no json")).otherwise(F.to_json(F.struct(score.alias("score"), evidence.alias("evidence"))))
+    checked = checked_scores(docs.select("doc_id", answer.alias("answer"), F.col("text").alias("source")))
+    return checked.select("doc_id", F.coalesce("problem", F.lit("")).alias("problem"))
 
 
 def overnight_gap(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("session")
-    return _rounded(panel_a(spark, d).select("symbol", "session", simple_return(F.col("open"), F.lag("close").over(w)).alias("gap")))
+    return _rounded(gaps(panel_a(spark, d)).select("symbol", "session", "gap"))
+
+
+def buy_and_hold_growth(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(buy_and_hold(panel_a(spark, d)), 9)
+
+
+def dup_key_check(spark: SparkSession, d: str) -> DataFrame:
+    return repeated(table(spark, d, "lineitem"), ["l_suppkey", "l_shipdate"])
 
 
 def _dated(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -299,7 +311,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pit_visible_bars, pit_excluded_count, pit_asof_ticks, bars_daily_ohlcv, bar_to_pit_close, calendar_sessions, business_days, keep_first_dedup, new_keys_antijoin, coverage_stats,
         dup_key_check, features_lag_ret, features_label, features_vol20, feature_frame, split_counts, eval_metrics, train_gbt, topk_equal_weight, limited_weights, limit_decisions,
         sector_scale, cost_model, sim_session_terms, sim_equity, holdings_missing_check, holdings_missing_panel_c, replay_diff, universe_clean, event_log_parse, recent_outputs, momentum_12_1, equity_drawdown,
-        adv_20, evidence_gate, overnight_gap,
+        adv_20, evidence_gate, overnight_gap, buy_and_hold_growth,
     )
 }
 
@@ -315,7 +327,8 @@ ALL_FEATURES = f"WITH {PANEL_A}, seen AS (SELECT * FROM panel_a), {FEATURES}"
 LIMITS = f"""WITH {PANEL_D},
 s2 AS (SELECT *, weight < 0 AS b1, greatest(weight, 0) AS w1 FROM panel_d),
 s3 AS (SELECT *, w1 > 0.05 AS b2, least(w1, 0.05) AS w2 FROM s2),
-s4 AS (SELECT *, adv IS NULL AND w2 > 0 AS b3, CASE WHEN adv IS NULL THEN 0 ELSE w2 END AS w3 FROM s3),
+sd AS (SELECT * REPLACE (least(w2, current) AS w2), w2 > current AS b7 FROM s3),
+s4 AS (SELECT *, adv IS NULL AND w2 > 0 AS b3, CASE WHEN adv IS NULL THEN 0 ELSE w2 END AS w3 FROM sd),
 s5 AS (SELECT *, adv IS NOT NULL AND w3 > adv * (0.01 / 2000.0) AS b4, CASE WHEN adv IS NOT NULL THEN least(w3, adv * (0.01 / 2000.0)) ELSE w3 END AS w4 FROM s4),
 s6 AS (SELECT *, sum(w4) OVER (PARTITION BY tick, sector) AS t5 FROM s5),
 s7 AS (SELECT *, t5 > 0.30 AS b5, CASE WHEN t5 > 0.30 THEN w4 * 0.30 / t5 ELSE w4 END AS w5 FROM s6),
@@ -356,7 +369,7 @@ SELECT count(*) AS n, round(sqrt(avg((p - a) * (p - a))), 8) AS rmse, round(sqrt
 SELECT c_nationkey AS tick, upper(replace(trim(c_name), ' ', '.')) AS symbol, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_name) AS rank FROM customer WHERE c_acctbal > 0) WHERE rank <= 25""",
     "limited_weights": f"{LIMITS} SELECT tick, symbol, round(limited, 9) AS limited FROM s9 WHERE limited > 1e-12",
     "limit_decisions": f"""{LIMITS}, labels AS (SELECT tick, unnest(list_filter([CASE WHEN b1 THEN 'long_only' END, CASE WHEN b2 THEN 'max_name_weight' END, CASE WHEN b3 THEN 'missing_adv' END, CASE WHEN b4 THEN 'liquidity_cap' END,
-CASE WHEN b5 THEN 'max_sector_weight' END, CASE WHEN b6 THEN 'max_gross_weight' END, 'volatility_target'], lambda x: x IS NOT NULL)) AS l FROM s9)
+CASE WHEN b7 THEN 'drawdown_no_new_buys' END, CASE WHEN b5 THEN 'max_sector_weight' END, CASE WHEN b6 THEN 'max_gross_weight' END, 'volatility_target'], lambda x: x IS NOT NULL)) AS l FROM s9)
 SELECT t.tick, round(t.gross, 9) AS gross, string_agg(DISTINCT l.l, ',' ORDER BY l.l) AS constraints
 FROM (SELECT tick, sum(CASE WHEN limited > 1e-12 THEN limited ELSE 0 END) AS gross FROM s9 GROUP BY tick) t JOIN labels l ON l.tick = t.tick GROUP BY t.tick, t.gross""",
     "sector_scale": f"""WITH {PANEL_D}, p AS (SELECT *, least(greatest(weight, 0), 1.0) AS w FROM panel_d), s AS (SELECT *, sum(w) OVER (PARTITION BY tick, sector) AS t FROM p),
@@ -386,15 +399,19 @@ WHERE a.node IS NULL OR b.node IS NULL OR a.output <> b.output""",
     "momentum_12_1": f"WITH {PANEL_C} SELECT symbol, session, round(m, 6) AS momentum FROM (SELECT *, lag(close, 21) OVER w / lag(close, 252) OVER w - 1 AS m FROM panel_c WINDOW w AS (PARTITION BY symbol ORDER BY session)) WHERE m IS NOT NULL",
     "equity_drawdown": f"WITH {PANEL_C} SELECT symbol, session, round(1 - close / max(close) OVER (PARTITION BY symbol ORDER BY session ROWS UNBOUNDED PRECEDING), 6) AS drawdown FROM panel_c",
     "adv_20": f"WITH {PANEL_C} SELECT symbol, session, round(CASE WHEN count(*) OVER w = 20 THEN avg(dollars) OVER w END, 5) AS adv FROM panel_c WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
-    "evidence_gate": "SELECT doc_id, contains(text, 'percent') AS quoted, coalesce(n_chars BETWEEN 400 AND 1200, false) AS in_range FROM documents WHERE text IS NOT NULL",
+    "evidence_gate": """WITH a AS (SELECT doc_id, text, (doc_id % 5 - 2) / 1.5 AS score, CASE WHEN doc_id % 3 = 0 THEN list_reduce(list_prepend('', split(text, '')), lambda x, y: y || x) WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 3, 25) END AS evidence FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR evidence IS NULL OR evidence = '' THEN 'format' WHEN score NOT BETWEEN -1 AND 1 THEN 'range' WHEN NOT contains(text, evidence) THEN 'evidence' ELSE '' END AS problem FROM a""",
+    "buy_and_hold_growth": f"""WITH {PANEL_A}, f AS (SELECT symbol, arg_min(close, session) AS first FROM panel_a GROUP BY symbol)
+SELECT session, count(*) AS symbols, round(avg(close / first), 9) AS growth FROM panel_a JOIN f USING (symbol) GROUP BY session""",
     "overnight_gap": f"WITH {PANEL_A} SELECT symbol, session, round(open / lag(close) OVER (PARTITION BY symbol ORDER BY session) - 1, 9) AS gap FROM panel_a",
-    "bar_to_pit_close": """WITH b AS (SELECT CAST(o_orderkey AS VARCHAR) AS symbol, CAST((o_orderdate + INTERVAL 5 HOUR) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS DATE) AS day, o_totalprice AS close FROM orders),
-c AS (SELECT *, (CAST(day AS TIMESTAMP) + INTERVAL 16 HOUR) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS event_time FROM b)
+    "bar_to_pit_close": """WITH b AS (SELECT nullif(upper(replace(trim(symbol, chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)||chr(160)), ' ', '.')), '') AS symbol, CAST(event_time AT TIME ZONE 'UTC' AS DATE) AS utc_day, min(close) AS close FROM pit_bars WHERE event_time IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT b.*, coalesce(s.close_utc, (CAST(b.day AS TIMESTAMP) + INTERVAL 16 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS event_time
+      FROM (SELECT *, CAST((CAST(utc_day AS TIMESTAMP) + INTERVAL 5 HOUR) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS DATE) AS day FROM b WHERE symbol IS NOT NULL) b LEFT JOIN exchange_sessions s ON s.session_date = b.day)
 SELECT symbol, event_time, event_time + INTERVAL 15 MINUTE AS available_at, close FROM c""",
 }
 
 for _name, _days in {
-    "session": ("bars_daily_ohlcv", "features_lag_ret", "features_label", "features_vol20", "feature_frame", "momentum_12_1", "equity_drawdown", "adv_20", "overnight_gap"),
+    "session": ("bars_daily_ohlcv", "features_lag_ret", "features_label", "features_vol20", "feature_frame", "momentum_12_1", "equity_drawdown", "adv_20", "overnight_gap", "buy_and_hold_growth"),
     "session_date": ("calendar_sessions",),
     "day": ("business_days",),
 }.items():

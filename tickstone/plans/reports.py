@@ -72,7 +72,14 @@ def checked_scores(answers: DataFrame, low: float = -1.0, high: float = 1.0) ->
 
 
 def one_of_ranking(scores: DataFrame, symbol: str, tick: str = "tick") -> DataFrame:
-    """``symbol``'s rank among all symbols of each tick; ranked over everything first, then looked up. Ties go by symbol."""
-    order = Window.partitionBy(tick).orderBy(F.desc_nulls_last("score"), "symbol")
-    ranked = scores.withColumns({"rank": F.row_number().over(order), "of": F.count("*").over(Window.partitionBy(tick))})
-    return ranked.where(F.col("symbol") == symbol).select(tick, "symbol", "score", "rank", "of")
+    """``symbol``'s rank among all symbols of each tick, the highest score first, null scores last; ties go by symbol.
+
+    Ranks by counting who is ahead, in partial sums: no tick is sorted or gathered. A symbol given twice in a tick is ranked at its best.
+    """
+    own = scores.where(F.col("symbol") == symbol).groupBy(tick).agg(F.max("score").alias("__own"))
+    score, mine = F.col("score"), F.col("__own")
+    higher = F.coalesce(score > mine, score.isNotNull() & mine.isNull())
+    ahead = higher | (score.eqNullSafe(mine) & (F.col("symbol") < symbol))
+    met = scores.join(own.withColumnRenamed(tick, "__tick"), F.col(tick).eqNullSafe(F.col("__tick")))
+    counted = met.groupBy(tick, "__own").agg((F.count_if(ahead) + 1).cast("int").alias("rank"), F.count("*").alias("of"))
+    return counted.select(tick, F.lit(symbol).alias("symbol"), F.col("__own").alias("score"), "rank", "of")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +27,32 @@ def build_session(app: str = "tickstone", master: str | None = None, **conf: obj
     return b.config(map=settings).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master (tests) gets a temporary one;
-    on a cluster without the setting this raises, since a machine-local folder would not outlive its executor.
+    Only a local master (tests) gets a temporary one, removed when Python ends; on a cluster without the setting this raises,
+    since a machine-local folder would not outlive its executor.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickstone-"))
+        if not shared:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="tickstone-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder, for tables that a later step reads."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in ``shared_folder``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

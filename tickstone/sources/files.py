@@ -73,6 +73,11 @@ def universe_members(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("symbols").alias("symbol")).distinct().orderBy("symbol")
 
 
+def distinct_symbols(rows: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """``symbol``: each once, spelled alike; null and blank ones are left out."""
+    return rows.select(norm_symbol(symbol).alias("symbol")).where("symbol is not null").distinct()
+
+
 # Exchanges of a listed share, and how the date line and the header of a holdings file begin.
 EXCHANGES = ("NASDAQ", "NYSE")
 AS_OF_LINE, HEADER_START = "Fund Holdings as of", "Ticker,Name,"
@@ -102,16 +107,16 @@ def holdings(spark: SparkSession, text: str, exchanges: Sequence[str] | None = E
     keep = (F.col("Asset Class") == asset_class) & (F.col("Location") == location) & (strip("Ticker") != "")
     if exchanges is not None:
         keep &= F.col("Exchange").isin(list(exchanges))
-    out = df.where(keep).select(norm_symbol("Ticker").alias("symbol")).distinct().orderBy("symbol")
+    out = distinct_symbols(df.where(keep), "Ticker").orderBy("symbol")
     if not out.limit(1).count():
         raise ValueError("holdings have no counting rows")
     return at, out
 
 
-def write_universe(path: Path, index: str, proxy: str, as_of: date, retrieved_at: datetime, symbols: Iterable[str], url: str = "", note: str = "") -> None:
+def write_universe(path: Path | str, index: str, proxy: str, as_of: date, retrieved_at: datetime, symbols: Iterable[str], url: str = "", note: str = "") -> None:
     listed = sorted(set(symbols))
     body = {"index": index, "proxy": proxy, "as_of": as_of.isoformat(), "retrieved_at": aware(retrieved_at).isoformat(), "source_url": url, "source_note": note, "symbols": listed, "symbol_count": len(listed)}
-    write_text(path, json.dumps(body, indent=2) + "\n")
+    Storage().write(path, (json.dumps(body, indent=2) + "\n").encode())
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

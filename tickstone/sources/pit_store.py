@@ -109,6 +109,10 @@ class PitStore:
             df = df.where(F.col("event_time") < F.lit(aware(end, "end")))
         return df.select(*columns(PIT_BAR)).orderBy("event_time", "symbol")
 
+    def months(self) -> DataFrame:
+        """``year, month, n``: the rows of each month, counted from the folders' names and the files' footers."""
+        return self._stored().groupBy(*MONTH).agg(F.count("*").alias("n"))
+
     def coverage(self) -> DataFrame:
         """``rows, symbols, first, last`` of the whole store; nulls and zeros where it is empty."""
         return coverage(self._stored())
