@@ -14,7 +14,9 @@ from tickstone.operators.features import add_features
 from tickstone.plans.clock import Clock, Tick, Timeline
 from tickstone.plans.flow import Flow, FlowBuilder, Inputs, Message, Missing, Node, Policy, ReplayMismatch, digest, encoded, events, frame_digest, recorded_outputs
 from tickstone.sources.pit_store import PitStore
-from tickstone.streaming.ingest import append_stream, bar_stream, live_features
+from tickstone.operators.simulation import fold
+from tickstone.plans.tools import BoundTools, OverBudget
+from tickstone.streaming.ingest import append_stream, bar_stream, live_equity, live_features
 
 
 def ticks(n):
@@ -252,6 +254,53 @@ def test_demo_run_and_replay(spark, tmp_path):
     out = run_demo(spark, tmp_path, iterations=2)
     assert out[Evaluation].values["eval_rows"] == 640 and out[Evaluation].values["train_rows"] == 3860
     card = json.loads((tmp_path / "card.json").read_text())
-    assert card["data"] == {"visible_rows": 4565, "excluded_rows": 50, "feature_rows": 4510}
+    data = card["data"]
+    assert (data["visible_rows"], data["excluded_rows"], data["feature_rows"]) == (4565, 50, 4510) and len(data["sha256"]) == 64 and data["as_of"].startswith("2023-06-30T23:59")
+    assert card["model"]["class"] == "GBTRegressionModel" and card["model"]["parameters"]["maxIter"] == 2 and card["model"]["features"] == ["ret_1", "ret_5", "vol_20"] and card["model"]["trees"] == 2
     flow = research_flow(spark, CsvBars(spark, str(tmp_path / "bars")), iterations=2)
     assert len(flow.replay(spark, [Tick.from_datetime(AS_OF)], tmp_path / "events.jsonl", "demo", tmp_path / "again.jsonl")) == 1
+
+
+def test_late_rows_are_handed_out(spark, tmp_path):
+    schema = "symbol string, session_us bigint, close double"
+    for part in ([("A", 10, 1.0), ("A", 12, 2.0)], [("A", 11, 9.0), ("A", 13, 4.0), ("A", 12, 9.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live_features(stream, 30).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert tuples(spark.table("late"), "session_us", "close", "late", "ret_1") == [(10, 1.0, False, None), (11, 9.0, True, None), (12, 2.0, False, 1.0), (12, 9.0, True, None), (13, 4.0, False, 1.0)]
+
+
+def test_live_equity_is_the_folded_one(spark, tmp_path):
+    terms = [(r, datetime(2026, 1, d, tzinfo=UTC), 0.01 * (d % 3 - 1), 0.02 * (d % 2), 0.1, 1e-4, 1e-5) for r in ("x", "y") for d in range(1, 10)]
+    schema = "run string, event_time timestamp, r_over double, r_in double, turnover double, a double, b double"
+    for k in range(3):
+        spark.createDataFrame([t for t in terms if t[1].day // 4 == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live_equity(stream, 500.0).writeStream.format("memory").queryName("equity").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    want = fold(spark.createDataFrame(terms, schema), 500.0, "run")
+    cols = ["run", "event_time", *(F.round(c, 9) for c in ("gross_return", "transaction_costs", "turnover", "net_return", "equity"))]
+    assert tuples(spark.table("equity"), *cols) == tuples(want, *cols)
+
+
+def test_tools(spark):
+    bars = [bar(" a", f"2026-01-{d:02}", 10.0 + d, late=1) for d in range(1, 29)] + [bar("B", "2026-01-02", 5.0)]
+    docs = spark.createDataFrame(
+        [(i, f"text {i}", s, "A ", f, datetime(2026, 1, i, tzinfo=UTC), datetime(2026, 1, i, 6 if i != 9 else 23, tzinfo=UTC)) for i, (s, f) in enumerate([("Filings", "10-K"), ("filings", "10-K "), ("newswire", None), ("filings", "8-K"), ("Newswire", None), ("filings", "10-k"), ("newswire", None), ("newswire", None), ("filings", "10-K")], 1)],
+        "doc_id bigint, text string, source string, symbol string, form string, event_time timestamp, available_at timestamp",
+    )
+    tick = Tick.from_datetime(datetime(2026, 1, 9, 12, tzinfo=UTC))
+    tools = BoundTools(Clock(tick), frame(spark, bars), docs, scorer=lambda rows: rows.withColumn("prediction", F.lit(0.5)), budget=7)
+    assert [s["name"] for s in tools.schemas()] == ["get_features", "predict", "get_price_history", "get_filing", "get_news", "check_risk"]
+    assert [r.close for r in tools.call("get_price_history", {"symbol": "a ", "lookback_days": 3}).collect()] == [16.0, 17.0, 18.0]
+    got = tools.call("get_features", {"symbol": "A", "names": ["ret_1", "vol_20"]}).first()
+    assert abs(got.ret_1 - (18 / 17 - 1)) < 1e-12 and got.vol_20 is None
+    assert tools.call("predict", {"symbol": "A"}).count() == 0  # eight bars are too few for vol_20
+    assert [r.doc_id for r in tools.call("get_filing", {"symbol": "A", "form": "10-k", "n": 2}).orderBy("place").collect()] == [6, 2]
+    assert [r.doc_id for r in tools.call("get_news", {"symbol": "A", "lookback_hours": 72}).collect()] == [8, 7]
+    assert tools.call("check_risk", {"weights": {"A": 0.5}}).first().bound == ["max_name_weight"]
+    for bad in (("nothing", {}), ("predict", {"symbol": "A", "x": 1})):
+        with pytest.raises((KeyError, TypeError)):
+            tools.call(*bad)
+    assert tools.call("get_news", {"symbol": "zz", "lookback_hours": 1}).count() == 0
+    with pytest.raises(OverBudget):
+        tools.call("predict", {"symbol": "A"})

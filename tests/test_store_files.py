@@ -114,6 +114,8 @@ def test_leakage(spark, tmp_path):
 
 
 def test_write_refuses_bars_from_the_future(spark, tmp_path):
+    with pytest.raises(TypeError, match="close is string"):
+        PitStore(spark, str(tmp_path / "s")).write(frame(spark, [bar("A", "2025-01-02")]).withColumn("close", F.col("close").cast("string")))
     with pytest.raises(ValueError):
         PitStore(spark, str(tmp_path / "s")).write(frame(spark, [bar("A", "2025-01-02", late=-1)]))
     with pytest.raises(ValueError):

@@ -141,25 +141,30 @@ def session_terms(panel: DataFrame, cost: CostModel = CostModel(), run: str | No
     return sums.join(inside, keys).select(*keys, "r_over", "r_in", "turnover", "a", "b")
 
 
+def after_session(equity: float, r_over: float, r_in: float, turnover: float, a: float, b: float) -> tuple[float, tuple[float, float, float, float, float]]:
+    """The equity after a session, and the session's gross return, costs, turnover, net return and equity. NaN once it is not above zero."""
+    before = equity * (1 + r_over)
+    before = before if before > 0 else math.nan
+    paid = a * before + b * before**1.5
+    left = before - paid if before - paid > 0 else math.nan
+    after = left * (1 + r_in)
+    after = after if after > 0 else math.nan
+    return after, (before * (1 + r_in) / equity - 1, paid, turnover, after / equity - 1, after)
+
+
 def _folded(initial: float, run: str | None):
+    names = [*([run] if run else []), "event_time", "gross_return", "transaction_costs", "turnover", "net_return", "equity"]
+
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         equity, at = initial, None
-        for b in batches:
+        for batch in batches:
             out = []
-            for r in b.itertuples(index=False):
+            for r in batch.itertuples(index=False):
                 if run and r[0] != at:
                     equity, at = initial, r[0]
-                row = r[1:] if run else r
-                _, over, inside, turnover, a, cost_b = row
-                before = equity * (1 + over)
-                before = before if before > 0 else math.nan
-                paid = a * before + cost_b * before**1.5
-                left = before - paid if before - paid > 0 else math.nan
-                after = left * (1 + inside)
-                after = after if after > 0 else math.nan
-                out.append((*r[: 2 if run else 1], before * (1 + inside) / equity - 1, paid, turnover, after / equity - 1, after))
-                equity = after
-            yield pd.DataFrame(out, columns=[*([run] if run else []), "event_time", "gross_return", "transaction_costs", "turnover", "net_return", "equity"])
+                equity, values = after_session(equity, *r[-5:])
+                out.append((*r[:-5], *values))
+            yield pd.DataFrame(out, columns=names)
 
     return go
 

@@ -19,6 +19,11 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "pit_bars"), table(spark, d, "exchange_sessions"))
 
 
+def p1_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the grid that is not estimated."""
+    return p1_grid(spark, d).where("not filled").select("symbol", "session_date", "value", "n_readings")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_grid(spark, d).where("filled and value is not null").select("symbol", "session_date")
 
@@ -63,5 +68,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_grid, p1_found, p2_found, p2_versions, p3_report, p3_found, p4_changes, p4_found, p5_totals, p5_found)
+    f.__name__: f for f in (p1_grid, p1_observed, p1_found, p2_found, p2_versions, p3_report, p3_found, p4_changes, p4_found, p5_totals, p5_found)
 }

@@ -21,6 +21,12 @@ FROM span s JOIN axis a ON a.i > s.lo AND a.i < s.hi
 WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.symbol = s.symbol AND x.i = a.i)"""
 
 
+P1_OBSERVED = f"""
+WITH {READINGS}, axis AS (SELECT DISTINCT session_date FROM exchange_sessions)
+SELECT symbol, strftime(day, '%Y-%m-%d') AS session_date, arg_max(close, event_time) AS value, count(*) AS n_readings
+FROM readings JOIN axis ON day = session_date WHERE close IS NOT NULL AND NOT isnan(close) GROUP BY symbol, day"""
+
+
 def _standing(name: str, source: str, scope: str, as_of: str, published: str, items: str) -> str:
     return f"""
 {name} AS (
@@ -131,6 +137,7 @@ P3_CASES = f"""{P3}, cases AS (
 
 SQL: dict[str, str] = {
     "p1_found": P1,
+    "p1_observed": P1_OBSERVED,
     "p2_found": P2,
     "p2_versions": P2_VERSIONS,
     "p3_report": f"""{P3_CASES}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tickstone.operators.evaluation import metrics, predict, split, train_baseline
 from tickstone.operators.features import FEATURES, add_features, usable_labels
 from tickstone.plans.clock import Tick
-from tickstone.plans.flow import Context, Flow, Message, Missing, Node
+from tickstone.plans.flow import Context, Flow, Message, Missing, Node, frame_digest
 from tickstone.sources.files import BarSource, CsvBars, synthetic_bars, write_card, write_csv
 
 AS_OF = datetime(2023, 6, 30, 23, 59, tzinfo=UTC)
@@ -108,8 +108,15 @@ class EvaluateBaseline(Node):
             raise ValueError("no evaluation rows")
         values = {"eval_rows": got.n, "train_rows": model.train_rows, "rmse": got.rmse, "zero_rmse": got.zero_rmse, "correlation": got.correlation}
         if self.card:
-            data = {"visible_rows": bars.frame.count(), "excluded_rows": bars.excluded, "feature_rows": features.frame.count()}
-            write_card(self.card, {"run_id": ctx.run_id, "data": data, "split": {"train_end": TRAIN_END.isoformat(), "eval_start": EVAL_START.isoformat(), "features": list(FEATURES)}, "metrics": values})
+            fitted = model.trees.fitted
+            card = {
+                "run_id": ctx.run_id,
+                "data": {"sha256": frame_digest(bars.frame), "as_of": ctx.tick.at.isoformat(), "visible_rows": bars.frame.count(), "excluded_rows": bars.excluded, "feature_rows": features.frame.count()},
+                "split": {"train_end": TRAIN_END.isoformat(), "eval_start": EVAL_START.isoformat(), "label_available_by": ctx.tick.at.isoformat()},
+                "model": {"class": type(fitted).__qualname__, "parameters": {p.name: v for p, v in fitted.extractParamMap().items()}, "features": list(FEATURES), "trees": fitted.getNumTrees},
+                "metrics": values,
+            }
+            write_card(self.card, card)
         return Evaluation(ctx.tick, self.name, values)
 
 

@@ -8,17 +8,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
+from itertools import pairwise
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickstone.operators.simulation import violations
+from tickstone.operators.simulation import session_terms, violations
 from tickstone.operators.weights import weight_faults
-from tickstone.plans.clock import Tick
+from tickstone.plans.clock import Clock, Tick
 from tickstone.plans.flow import Context, Flow, FlowBuilder, Message, Node, digest, events, recorded_outputs
-from tickstone.plans.pit_queries import BARS, NOW, NTZ, PANEL_A, panel_a
+from tickstone.plans.pit_queries import BARS, FEATURES, NOW, NTZ, PANEL_A, panel_a, panel_b
+from tickstone.plans.pit_queries import SQL as PIT_SQL
 from tickstone.plans.reports import Registry, one_of_ranking, run_report, store_payload
+from tickstone.plans.tools import BoundTools
 from tickstone.schemas import EVENT, PIT_BAR, RAW_BAR, columns, struct
 from tickstone.session import scratch
 from tickstone.sources.dataset import build_dataset
@@ -26,7 +30,7 @@ from tickstone.sources.files import CsvBars, canonical, file_hashes, holdings, r
 from tickstone.sources.pit_store import PitStore
 from tickstone.sources.storage import Storage
 from tickstone.sources.tables import table
-from tickstone.streaming.ingest import append_stream, bar_stream, live_features
+from tickstone.streaming.ingest import append_stream, bar_stream, live_equity, live_features
 
 HALF = "2024-01-15 00:00:00"
 NOW_SQL = "TIMESTAMP '2024-01-25 12:00:00'"
@@ -222,27 +226,28 @@ def _flow(spark: SparkSession, d: str) -> tuple[Flow, list[Tick]]:
     return FlowBuilder().add(Double(), CountSeen(_bars(spark, d))).build(spark=spark), ticks
 
 
-def _local_log(spark: SparkSession) -> Path:
-    """An event log is written by the driver, beside nothing else."""
-    import tempfile
-
-    return Path(tempfile.mkdtemp(prefix="tickstone-log-")) / "events.jsonl"
+def _log(spark: SparkSession) -> Path:
+    """A place for an event log, which the driver appends to line by line: the shared folder must be mounted on it."""
+    place = urlparse(scratch(spark))
+    if place.scheme not in ("", "file"):
+        raise RuntimeError(f"an event log needs a mounted folder, not {place.scheme}")
+    return Path(unquote(place.path)) / "events.jsonl"
 
 
 def flow_runs(spark: SparkSession, d: str) -> DataFrame:
     """Ten ticks of a flow of two nodes, and what it gave at each."""
     flow, ticks = _flow(spark, d)
-    out = flow.run_many(ticks, "r", _local_log(spark))
+    out = flow.run_many(ticks, "r", _log(spark))
     return spark.createDataFrame([(t.id, m[Seen].rows, m[Doubled].rows) for t, m in zip(ticks, out, strict=True)], "tick string, seen bigint, doubled bigint")
 
 
 def flow_events(spark: SparkSession, d: str) -> DataFrame:
     """The events of a flow and of its replay, counted by kind and node."""
     flow, ticks = _flow(spark, d)
-    log = _local_log(spark)
+    log = _log(spark)
     flow.run_many(ticks, "r", log)
     flow.replay(spark, ticks, log, "r", log)
-    rows = [(r.event, r.node or "", 1) for r in events(spark, str(log)).select("event", "node").collect()]  # a log of ten ticks
+    rows = [(r.event, r.node or "", 1) for r in events(spark, log.as_uri()).select("event", "node").collect()]  # a log of ten ticks
     return spark.createDataFrame(rows, "event string, node string, n int").groupBy("event", "node").agg(F.count("*").alias("n"))
 
 
@@ -293,6 +298,46 @@ def value_digests(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(x["a"], canonical(x), digest(x)) for x in rows], "n_nationkey int, text string, sha256 string")
 
 
+def live_equity_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The simulation's equity carried on by a stream of session terms that comes in three batches."""
+    folder = scratch(spark)
+    terms = session_terms(panel_b(spark, d)).select(F.lit("r").alias("run"), F.col("event_time").cast("timestamp").alias("event_time"), "r_over", "r_in", "turnover", "a", "b")
+    terms.write.parquet(f"{folder}/all")
+    kept = spark.read.parquet(f"{folder}/all")
+    edges = [F.lit(f"{y}-01-01 00:00:00").cast(NTZ).cast("timestamp") for y in (1900, 1994, 1996, 2200)]
+    for a, z in pairwise(edges):
+        kept.where((F.col("event_time") >= a) & (F.col("event_time") < z)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    live_equity(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.col("event_time").cast(NTZ).alias("event_time"), *(F.round(c, 6).alias(c) for c in ("gross_return", "transaction_costs", "turnover", "net_return", "equity")))
+
+
+MIDYEAR = datetime(2025, 6, 30, 12, tzinfo=UTC)
+
+
+def _tools(spark: SparkSession, d: str, at: datetime) -> BoundTools:
+    return BoundTools(Clock(Tick.from_datetime(at)), _bars(spark, d), table(spark, d, "documents"))
+
+
+def tool_news(spark: SparkSession, d: str) -> DataFrame:
+    return _tools(spark, d, MIDYEAR).call("get_news", {"symbol": " jorv", "lookback_hours": 2400}).select("symbol", "doc_id")
+
+
+def tool_filing(spark: SparkSession, d: str) -> DataFrame:
+    return _tools(spark, d, MIDYEAR).call("get_filing", {"symbol": "JORV", "form": "10-Q", "n": 3}).select("symbol", "doc_id", "place")
+
+
+def tool_history(spark: SparkSession, d: str) -> DataFrame:
+    seen = _tools(spark, d, NOW).call("get_price_history", {"symbol": "click", "lookback_days": 3})
+    return seen.select("symbol", F.col("event_time").cast(NTZ).alias("event_time"), "close")
+
+
+def tool_features(spark: SparkSession, d: str) -> DataFrame:
+    got = _tools(spark, d, NOW).call("get_features", {"symbol": "click", "names": ["ret_1", "ret_5", "vol_20"]})
+    return got.select("symbol", F.col("event_time").cast(NTZ).alias("event_time"), *(F.round(c, 6).alias(c) for c in ("ret_1", "ret_5", "vol_20")))
+
+
 def synthetic_sessions(spark: SparkSession, d: str) -> DataFrame:
     s = synthetic_bars(spark).where(F.col("close") > 0)
     return s.groupBy("symbol").agg(F.count("*").alias("n"), F.min("session").cast("string").alias("first"), F.max("session").cast("string").alias("last"), F.count_if(F.hour("available_at") == 21).alias("at_21"))
@@ -303,6 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         store_append, store_inserts, store_months, store_coverage, store_range, store_empty, csv_as_of, raw_bars_range, universe_file, holdings_members, log_outputs, log_report, limit_faults, sim_violations,
         single_name_rank, stream_append, stream_features, flow_runs, flow_events, flow_levels, dataset_build, payload_rows, registry_best, file_digests, value_digests, synthetic_sessions,
+        live_equity_stream, tool_news, tool_filing, tool_history, tool_features,
     )
 }
 
@@ -360,6 +406,15 @@ SELECT count(*) AS inserted, CAST(0 AS BIGINT) AS again, true AS same, count(*)
 SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'even' ELSE 'odd' END AS name, r_name AS run_id, CAST(r_regionkey % 3 AS DOUBLE) AS value, r_regionkey FROM region)) WHERE k = 1""",
     "file_digests": "SELECT n_nationkey || '.txt' AS name, sha256(n_name) AS sha256 FROM nation",
     "value_digests": """SELECT n_nationkey, t AS text, sha256(t) AS sha256 FROM (SELECT n_nationkey, '{"a":' || n_nationkey || ',"b":"' || n_name || '"}' AS t FROM nation)""",
+    "live_equity_stream": PIT_SQL["sim_equity"],
+    "tool_news": f"""SELECT 'JORV' AS symbol, doc_id FROM documents WHERE {SYMBOL.format("symbol")} = 'JORV' AND text IS NOT NULL AND lower(replace(trim(source), ' ', '_')) = 'newswire'
+AND event_time AT TIME ZONE 'UTC' > TIMESTAMP '2025-03-22 12:00:00' AND event_time AT TIME ZONE 'UTC' <= TIMESTAMP '2025-06-30 12:00:00' AND available_at AT TIME ZONE 'UTC' <= TIMESTAMP '2025-06-30 12:00:00'""",
+    "tool_filing": f"""SELECT 'JORV' AS symbol, doc_id, CAST(place AS INTEGER) AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY event_time DESC, doc_id DESC) AS place FROM documents
+WHERE {SYMBOL.format("symbol")} = 'JORV' AND text IS NOT NULL AND lower(replace(trim(source), ' ', '_')) = 'filings' AND upper(trim(form)) = '10-Q'
+AND event_time AT TIME ZONE 'UTC' <= TIMESTAMP '2025-06-30 12:00:00' AND available_at AT TIME ZONE 'UTC' <= TIMESTAMP '2025-06-30 12:00:00') WHERE place <= 3""",
+    "tool_history": f"WITH {BARS} SELECT symbol, event_time, close FROM bars WHERE symbol = 'click' AND available_at <= {NOW_SQL} AND event_time > {NOW_SQL} - INTERVAL 3 DAY",
+    "tool_features": f"""WITH {BARS}, seen AS (SELECT *, event_time AS session FROM bars WHERE symbol = 'click' AND available_at <= {NOW_SQL}), {FEATURES}
+SELECT symbol, event_time, round(ret_1, 6) AS ret_1, round(ret_5, 6) AS ret_5, round(vol_20, 6) AS vol_20 FROM features ORDER BY event_time DESC LIMIT 1""",
     "synthetic_sessions": """WITH d AS (SELECT CAST(x AS DATE) AS day FROM range(DATE '2020-01-01', DATE '2023-07-15', INTERVAL 1 DAY) t(x) WHERE isodow(x) < 6)
 SELECT s AS symbol, count(*) AS n, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, count(*) AS at_21 FROM d CROSS JOIN (VALUES ('AAA'), ('BBB'), ('CCC'), ('DDD'), ('EEE')) v(s) GROUP BY s""",
 }

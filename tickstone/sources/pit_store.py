@@ -73,11 +73,14 @@ class PitStore:
         """Append the rows whose (symbol, event_time) is not stored; returns their number.
 
         Of several rows of one key in ``bars`` the earliest available stays, then by the other columns. A row available before its
-        event is refused. Only the months of ``bars`` are read back, and only files with new rows are written, each sorted by
+        event is refused, and so are columns of other types than the store's. Only the months of ``bars`` are read back, and only files with new rows are written, each sorted by
         event_time and symbol; a second write of the same rows adds nothing.
         """
         cols = columns(PIT_BAR)
         rows = bars.select(*cols)
+        other = [f"{f.name} is {f.dataType.simpleString()}" for f in rows.schema if f.dataType != struct(PIT_BAR)[f.name].dataType]
+        if other:
+            raise TypeError(f"bars of another schema: {', '.join(other)}")
         if rows.where("available_at < event_time or available_at is null or event_time is null or symbol is null").limit(1).count():
             raise ValueError("every bar needs a symbol, and an available_at at or after its event_time")
         rows = rows.withColumns({"year": F.year("event_time"), "month": F.month("event_time")})
