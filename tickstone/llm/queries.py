@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickstone.llm.leakage import leaks, without_leaks
 from tickstone.llm.mixing import measured, mix_report, mixed_sample, reached, with_target
-from tickstone.llm.subjects import composition, subjects_of
+from tickstone.llm.subjects import composition, labelled, subjects_of
 from tickstone.sources.tables import table
 
 
@@ -45,6 +45,12 @@ def p7_reached(spark: SparkSession, d: str) -> DataFrame:
     return reached(p7_sample(spark, d))
 
 
+def p8_labelled(spark: SparkSession, d: str) -> DataFrame:
+    """The labels that the classifier is fitted on, by document."""
+    rows = labelled(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+    return spark.createDataFrame([(int(i), ",".join(x)) for i, x in zip(rows["doc_id"], rows["labels"], strict=True)], "doc_id bigint, labels string")
+
+
 def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects_of(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "doc_labels"))
 
@@ -58,13 +64,16 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p6_matches, p6_found, p6_clean, p7_shares, p7_found, p7_sample, p7_reached, p8_subjects, p8_found, p8_composition)
+    f.__name__: f for f in (p6_matches, p6_found, p6_clean, p7_shares, p7_found, p7_sample, p7_reached, p8_labelled, p8_subjects, p8_found, p8_composition)
 }
 
 BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)||chr(160)"
 SOURCE = "nullif(lower(replace(trim({0}, " + BLANKS + "), ' ', '_')), '')"
 # no case depends on the tokenizer, so characters serve as sizes here
 SQL: dict[str, str] = {
+    "p8_labelled": f"""
+SELECT l.doc_id, string_agg(DISTINCT lower(trim(l.subject, {BLANKS})), ',' ORDER BY lower(trim(l.subject, {BLANKS}))) AS labels
+FROM doc_labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.subject IS NOT NULL AND d.text IS NOT NULL GROUP BY l.doc_id""",
     "p7_found": f"""
 WITH sizes AS (SELECT {SOURCE.format("source")} AS source, sum(length(text)) AS size FROM documents WHERE trim(text, {BLANKS}) <> '' GROUP BY 1),
 goals AS (SELECT {SOURCE.format("source")} AS source, target_share, max_passes FROM mix_targets),
