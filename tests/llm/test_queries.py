@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -36,3 +39,17 @@ def test_clean_documents_are_those_without_leaks(spark):
     kept = {r.doc_id for r in QUERIES["p6_clean"](spark, str(DATA)).collect()}
     every = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert kept == every - found
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Started elsewhere, Python workers cannot import the package: functions and models must travel as plain code and values."""
+    root = Path(__file__).resolve().parent.parent.parent
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from tickstone.llm.queries import QUERIES\nfrom tickstone.session import build_session\n"
+        "s = build_session('far', 'local[2]', spark__sql__shuffle__partitions=2, spark__ui__enabled='false')\n"
+        f"for q in ('p6_found', 'p7_shares', 'p8_found'): assert QUERIES[q](s, {str(DATA)!r}).count() > 0, q\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)

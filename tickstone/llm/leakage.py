@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -105,7 +106,7 @@ class Items:
         self.heads = array[self.first[:-1]]
 
 
-def _hits(text: np.ndarray, items: Items, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _hits(text: np.ndarray, items: Items | SimpleNamespace, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of ``text`` at which a suffix of an item begins, in order, and the class of suffixes of each."""
     able = np.ones(max(len(text) - seed + 1, 0), bool)
     for j in range(seed):
@@ -121,7 +122,7 @@ def _hits(text: np.ndarray, items: Items, seed: int) -> tuple[np.ndarray, np.nda
     return at[order], kind[order]
 
 
-def _runs(at: np.ndarray, kind: np.ndarray, items: Items, p: Passage) -> list[tuple[int, list[tuple[int, int, int]]]]:
+def _runs(at: np.ndarray, kind: np.ndarray, items: Items | SimpleNamespace, p: Passage) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Items of which enough words are in these matches, each with its maximal verbatim runs: place, start in the item, length; longest first."""
     n = items.first[kind + 1] - items.first[kind]
     member = np.repeat(items.first[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -197,7 +198,7 @@ def passage_of(doc: np.ndarray, item: np.ndarray, places: np.ndarray, runs: list
     return best[:4] if best else None
 
 
-def shard_leaks(ids: list[str | None], texts: list[list[str]], items: Items, p: Passage, kept: dict[bytes, list]) -> Iterator[tuple]:
+def shard_leaks(ids: list[str | None], texts: list[list[str]], items: Items | SimpleNamespace, p: Passage, kept: dict[bytes, list]) -> Iterator[tuple]:
     """Leaks in one shard's documents. ``kept`` remembers what groups of matches came to: shared openings come again and again."""
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
     flat = chain.from_iterable(chain(t, ("\n",)) for t in texts)
@@ -258,7 +259,8 @@ def leaks(documents: DataFrame, items: DataFrame, passage: Passage = Passage())
     # ids travel as texts: pandas would turn a column with nulls into floats
     docs = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id", "text")
     sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(Items(block, passage)) for block in _blocks(items, passage.block_words)]
+    # as plain values: an executor that has no copy of this package cannot read its classes
+    sent = [sc.broadcast(vars(Items(block, passage))) for block in _blocks(items, passage.block_words)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[dict[bytes, list]] = [{} for _ in sent]
@@ -266,7 +268,7 @@ def leaks(documents: DataFrame, items: DataFrame, passage: Passage = Passage())
         def flush(ids: list[str | None], texts: list[list[str]]) -> pd.DataFrame:
             rows: list[tuple] = []
             for block, known in zip(sent, kept, strict=True):
-                rows += shard_leaks(ids, texts, block.value, passage, known)
+                rows += shard_leaks(ids, texts, SimpleNamespace(**block.value), passage, known)
                 if len(sent) > 1:
                     known.clear()
                     block._value = None

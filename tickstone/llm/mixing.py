@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tickstone.functions.columns import norm_source, strip
 from tickstone.llm.spread import spread
-from tickstone.llm.subjects import Training, decode, fit, labelled, subject_names
+from tickstone.llm.subjects import Training, decode, fit, labelled, received, sent_model, subject_names
 from tickstone.llm.tokens import DEFAULT, counter
 from tickstone.session import cut
 
@@ -47,13 +47,13 @@ def measured(documents: DataFrame, subjects: DataFrame, labels: DataFrame, token
     spark = documents.sparkSession
     names = subject_names(subjects)
     rows = labelled(documents if training_on is None else training_on, labels, training)
-    sent = spark.sparkContext.broadcast(fit(rows, names, training) if names and len(rows) else None)
+    sent = sent_model(spark, fit(rows, names, training) if names and len(rows) else None)
     lang = F.coalesce(F.nullif(F.lower(strip("lang")), F.lit("")), F.lit("und"))
     # ids travel as texts: pandas would turn a column with nulls into floats
     docs = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", lang.alias("lang"), norm_source("source").alias("source")), "doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, sizes = sent.value, counter(tokenizer)
+        model, sizes = received(sent.value), counter(tokenizer)
         for whole in batches:
             for a in range(0, len(whole), 1000):
                 b = whole.iloc[a : a + 1000].reset_index(drop=True)

@@ -18,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickstone.functions.columns import norm_source, strip
@@ -348,6 +349,15 @@ def decode(model: dict, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.
     return out, share, np.exp(logp[:, 0])
 
 
+def sent_model(spark: SparkSession, model: dict | None) -> Broadcast:
+    """The model as plain values: an executor that has no copy of this package cannot read its classes."""
+    return spark.sparkContext.broadcast(model and model | {"words": dict(model["words"])})
+
+
+def received(model: dict | None) -> dict | None:
+    return model and model | {"words": Numbers(model["words"])}
+
+
 def labelled(documents: DataFrame, labels: DataFrame, t: Training = Training()) -> pd.DataFrame:
     """Texts, sources and label sets of labelled documents: of at most ``t.most_documents`` ids, by hash of the id.
 
@@ -388,12 +398,12 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, t:
     spark = documents.sparkSession
     if not names or not len(rows):
         return spark.createDataFrame([], SCHEMA)
-    sent = spark.sparkContext.broadcast(fit(rows, names, t))
+    sent = sent_model(spark, fit(rows, names, t))
     # ids travel as texts: pandas would turn a column with nulls into floats
     docs = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", norm_source("source").alias("source")), "doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
+        model = received(sent.value)
         for whole in batches:
             for a in range(0, len(whole), 1000):
                 b = whole.iloc[a : a + 1000].reset_index(drop=True)
