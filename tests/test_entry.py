@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 import sys
@@ -53,3 +54,16 @@ def test_query_equals_sql(spark, oracle, name):
 @pytest.mark.skipif(not DATA.exists(), reason="no test data here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Started elsewhere, Python workers cannot import the package: functions must travel with their code."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "import __spark_entry__ as e\nfrom tickstone.session import build_session\n"
+        "s = build_session('far', 'local[2]', spark__sql__shuffle__partitions=2, spark__ui__enabled='false')\n"
+        f"for q in ('p1_grid', 'p2_found', 'p3_found', 'sim_equity'): assert e.queries()[q](s, {str(DATA)!r}).count() > 0, q\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)

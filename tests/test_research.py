@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickstone.operators.evaluation import metrics, predict, split, train_baseline
 from tickstone.operators.features import add_features, drawdown, momentum, trailing_mean, usable_labels
+from tickstone.operators.series import in_pieces
 from tickstone.operators.simulation import CostModel, fold, missing_next, session_terms, simulate, violations
 from tickstone.operators.weights import Limits, decision, faulty_symbols, limited, top_equal
 from tickstone.sources.files import synthetic_bars
@@ -174,6 +175,33 @@ def test_simulation_against_a_loop(spark):
         assert all(abs(x - y) <= 1e-9 * max(1, abs(y)) for x, y in zip(a, b, strict=True))
 
 
+def test_runs_are_kept_apart(spark):
+    rng = random.Random(5)
+    rows = [(r, f"S{i}", _day(n), rng.uniform(9, 11), rng.uniform(9, 11), rng.choice([0.0, 0.05, 0.2]), _day(n - 2), rng.uniform(1e4, 1e6), 0.3) for r in ("x", "y") for n in range(12) for i in range(3)]
+    both = spark.createDataFrame(rows, "run string, " + PANEL)
+    got = fold(session_terms(both, run="run"), 100.0, "run").orderBy("run", "event_time").collect()
+    for r in ("x", "y"):
+        alone = fold(session_terms(both.where(F.col("run") == r)), 100.0).orderBy("event_time").collect()
+        mine = [x for x in got if x.run == r]
+        assert len(mine) == 12 and all(abs(a.equity - b.equity) < 1e-9 and a.event_time == b.event_time for a, b in zip(mine, alone, strict=True))
+
+
+def test_a_hot_symbol_is_spread(spark):
+    """A third of the rows under one symbol: the largest task holds no more than a piece of it."""
+    rows = [("HOT", i, float(i + 1)) for i in range(20_000)] + [(f"S{i % 400}", i, float(i + 1)) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "symbol string, session int, close double").withColumn("available_at", F.col("session"))
+    sizes = []
+    keep = lambda r, w: sizes.append(r.groupBy("symbol", "__piece").count()) or r
+    assert in_pieces(df, "symbol", "session", 20, keep).count() == 60_000
+    assert sizes[0].agg(F.max("count")).first()[0] <= 4096 + 2 * (20 + 1024)
+    f = add_features(df)
+    assert f.count() == 60_000 and f.where("symbol = 'HOT' and ret_5 is null").count() == 5 and f.where("symbol = 'HOT' and vol_20 is null").count() == 10
+    d = drawdown(df.withColumn("close", -F.col("close")), "symbol", "session", "close")
+    assert d.where("symbol = 'HOT'").agg(F.max("drawdown"), F.min("drawdown")).first() == (0.0, 1.0 - 20_000.0)
+    nulls = df.union(spark.createDataFrame([(None, 1, 1.0, 1), ("A", None, 1.0, 1)], df.schema))
+    assert add_features(nulls).count() == 60_000
+
+
 def test_simulation_refuses(spark):
     ok = ("A", _day(0), 1.0, 1.0, 0.5, _day(-1), 1.0, 0.1)
     cases = {"blank": (" ", *ok[1:]), "invalid price": ("A", _day(0), NAN, *ok[3:]), "negative target": (*ok[:4], -0.1, *ok[5:]), "above 100%": (*ok[:4], 1.1, *ok[5:]), "adv_dollars": (*ok[:6], 0.0, 0.1), "annual_volatility": (*ok[:7], -1.0)}

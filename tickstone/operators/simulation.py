@@ -117,7 +117,7 @@ def session_terms(panel: DataFrame, cost: CostModel = CostModel(), run: str | No
     finds it small, split where a session is hot).
     """
     keys = [*([run] if run else []), "event_time"]
-    series = F.struct(*([run] if run else []), "symbol") if run else F.col("symbol")
+    series = F.to_json(F.struct(F.col(run).alias("run"), "symbol")) if run else F.col("symbol")
     base = panel.withColumn("symbol", norm_symbol("symbol")).where("symbol is not null").withColumn("__series", series)
     base = base.withColumn("__grow", F.col("target_weight") * F.try_divide(F.col("close"), F.col("open")))
     inside = base.groupBy(*keys).agg(F.sum(F.col("__grow") - F.col("target_weight")).alias("r_in"))
