@@ -99,9 +99,7 @@ def test_pieces_place_rows_exactly(spark):
     core = p[p.core].sort_values(["symbol", "pos"])
     assert len(core) == 257 and (core.close - 1 == core.pos).all() and (core.pos // 50 == core.piece).all()
     a = p[(p.symbol == "A") & (p.piece == 2)]
-    # at least five on either side, and what lies in the same day
-    assert set(range(95, 155)) <= set(a.pos) and list(a.pos.sort_values()) == list(range(a.pos.min(), a.pos.max() + 1)) and len(a) <= 50 + 2 * (5 + 2 * 24)
-    assert set(p[p.symbol == "B"].piece) == {0} and set(p.total) == {250, 7} and not p.duplicated(["symbol", "piece", "pos"]).any()
+    assert sorted(a.pos) == list(range(95, 155)) and set(p[p.symbol == "B"].piece) == {0} and set(p.total) == {250, 7} and not p.duplicated(["symbol", "piece", "pos"]).any()
 
 
 def test_pieces_see_the_usable_rows_around_them(spark):
@@ -156,5 +154,5 @@ def test_hot_symbol_is_spread(spark):
     c, v = series(3000, seed=2, sigma=0.001)
     df = frame(spark, rows_of("HOT", c, v))
     sizes = pieces(readings(df, ["close"]), "symbol", "day", "event_time", 256, 64).groupBy("piece").count().toPandas()
-    assert sizes["count"].max() <= 256 + 2 * (64 + 2 * 24) and len(sizes) == 12
+    assert sizes["count"].max() <= 256 + 2 * 64 and len(sizes) == 12
     assert tuples(implausible(df, Limits(piece=256, overlap=64)).where("field = 'close'")) == []

@@ -193,7 +193,7 @@ def test_a_hot_symbol_is_spread(spark):
     sizes = []
     keep = lambda r, w: sizes.append(r.groupBy("symbol", "__piece").count()) or r
     assert in_pieces(df, "symbol", "session", 20, keep).count() == 60_000
-    assert sizes[0].agg(F.max("count")).first()[0] <= 4096 + 2 * (20 + 1024)
+    assert sizes[0].agg(F.max("count")).first()[0] <= 4096 + 2 * 20
     f = add_features(df)
     assert f.count() == 60_000 and f.where("symbol = 'HOT' and ret_5 is null").count() == 5 and f.where("symbol = 'HOT' and vol_20 is null").count() == 10
     d = drawdown(df.withColumn("close", -F.col("close")), "symbol", "session", "close")

@@ -14,8 +14,8 @@ from pyspark.sql.window import WindowSpec
 def pieces(rows: DataFrame, key: str, bucket: str, order: str, size: int, overlap: int, usable: Mapping[str, Column] | None = None, mark: str = "") -> DataFrame:
     """Cut each key's rows, in ``order``, into pieces of ``size`` rows that also hold the rows around them.
 
-    For each condition of ``usable`` (by default any row counts) a piece holds at least the ``overlap`` rows before and after it that
-    meet the condition, however far away they are, or all there are; rows that meet none are not repeated.
+    A piece also holds the ``overlap`` rows before and after it. With conditions in ``usable`` it holds, for each of them, at least the
+    ``overlap`` rows before and after it that meet it, however far away they are, or all there are; rows that meet none are not repeated.
     Adds ``piece`` (from 0), ``core`` (false for a neighbour's row), ``pos`` (place in the whole series) and
     ``total`` (length of the series), each with ``mark`` before its name. ``rows`` must be unique by (key, order), laid out by (key, ``bucket``), and
     ``bucket`` must not decrease with ``order``. Places are exact: the counts of the buckets before, plus the place
@@ -24,19 +24,30 @@ def pieces(rows: DataFrame, key: str, bucket: str, order: str, size: int, overla
     """
     if size < 2 * overlap:
         raise ValueError("size must be at least twice the overlap")
-    usable = dict(usable or {"row": F.lit(True)})
     kinds = {f.name: f.dataType.simpleString() for f in rows.select(key, bucket).schema}
-    counts = rows.groupBy(key, bucket).agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"__u_{u}") for u, c in usable.items()))
-    columns = [f"`{key}` {kinds[key]}", f"`{bucket}` {kinds[bucket]}", "__before bigint", f"{mark}total bigint", *(f"__lo_{u} bigint, __hi_{u} bigint" for u in usable)]
-    placing = counts.repartition(key).sortWithinPartitions(key, bucket).mapInPandas(_reaches(key, bucket, size, overlap, list(usable), f"{mark}total"), ", ".join(columns))
+    conditions = dict(usable or {})
+    counts = rows.groupBy(key, bucket).agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"__u_{u}") for u, c in conditions.items()))
+    if conditions:
+        columns = [f"`{key}` {kinds[key]}", f"`{bucket}` {kinds[bucket]}", "__before bigint", f"{mark}total bigint", *(f"__lo_{u} bigint, __hi_{u} bigint" for u in conditions)]
+        laid = counts.repartition(key).sortWithinPartitions(key, bucket)
+        placing = laid.mapInPandas(_reaches(key, bucket, size, overlap, list(conditions), f"{mark}total"), ", ".join(columns))
+    else:
+        whole = Window.partitionBy(key)
+        before = F.sum("n").over(whole.orderBy(bucket)) - F.col("n")
+        placing = counts.select(key, bucket, before.alias("__before"), F.sum("n").over(whole).alias(f"{mark}total"))
     placed = rows.withColumn("__in", F.row_number().over(Window.partitionBy(key, bucket).orderBy(order))).join(placing, [key, bucket])
     pos = F.col("__before") + F.col("__in") - 1
     own = F.floor(pos / size)
-    # a row that meets a condition goes to the pieces that need it for that condition
-    lo = F.least(own, *(F.when(c, F.col(f"__lo_{u}")).otherwise(own) for u, c in usable.items())) if usable else own
-    hi = F.greatest(own, *(F.when(c, F.col(f"__hi_{u}")).otherwise(own) for u, c in usable.items())) if usable else own
+    if conditions:
+        # a row that meets a condition goes to the pieces that need it for that condition
+        lo = F.least(own, *(F.when(c, F.col(f"__lo_{u}")).otherwise(own) for u, c in conditions.items()))
+        hi = F.greatest(own, *(F.when(c, F.col(f"__hi_{u}")).otherwise(own) for u, c in conditions.items()))
+    else:
+        at = pos % size
+        lo = F.when((at < overlap) & (own > 0), own - 1).otherwise(own)
+        hi = F.when((at >= size - overlap) & ((own + 1) * size < F.col(f"{mark}total")), own + 1).otherwise(own)
     out = placed.withColumns({f"{mark}pos": pos, "__own": own, "__lo": lo, "__hi": hi}).withColumn(f"{mark}piece", F.explode(F.sequence("__lo", "__hi")))
-    made = [c for u in usable for c in (f"__lo_{u}", f"__hi_{u}")]
+    made = [c for u in conditions for c in (f"__lo_{u}", f"__hi_{u}")]
     out = out.withColumn(f"{mark}core", F.col(f"{mark}piece") == F.col("__own")).drop("__before", "__in", "__own", "__lo", "__hi", bucket, *made)
     return out.repartition(key, f"{mark}piece")
 
