@@ -210,8 +210,9 @@ def _exact_medians(held: DataFrame, limits: Limits) -> DataFrame:
     )
     # all columns of ``held`` are kept, so that its exchange is the one of the points
     near = held.join(_by_piece(bounds, limits), [*key, "piece"])
-    counted = near.mapInPandas(_between, "symbol string, kind int, total bigint, all double, value double, n double").groupBy(*key, "total", "all", "value").agg(F.sum("n").alias("n"))
-    found = counted.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= rank)
+    inside = near.mapInPandas(_between, "symbol string, kind int, total bigint, all double, value double, n double")
+    # equal values of several pieces are peers in the window, which counts them together
+    found = inside.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= rank)
     return found.groupBy(*key, "total", "all").agg(F.min("value").alias("value")).select(*key, "value", F.col("all").alias("n"), "total")
 
 
