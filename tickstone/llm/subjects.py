@@ -373,7 +373,9 @@ def labelled(documents: DataFrame, labels: DataFrame, t: Training = Training())
     within = sizes.withColumn("__all", F.sum("__n").over(upto)).where(F.col("__all") <= t.most_chars).select("doc_id", "__h").distinct()
     chosen = F.broadcast(given.join(F.broadcast(within), "doc_id"))
     named = texts.select("doc_id", "text", F.nullif(F.lower(strip("lang")), F.lit("")).alias("lang"), norm_source("source").alias("source"), F.xxhash64("text").alias("__h"))
-    return named.join(chosen, ["doc_id", "__h"]).drop("__h").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toPandas()
+    # put in order here: a global sort in Spark would read the texts once more to sample them
+    got = named.join(chosen, ["doc_id", "__h"]).withColumn("__o", F.xxhash64("doc_id")).toPandas()
+    return got.sort_values(["__o", "doc_id", "text"], ignore_index=True).drop(columns=["__h", "__o"])
 
 
 def subject_names(subjects: DataFrame, most: int = 10_000) -> list[str]:
